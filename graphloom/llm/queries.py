@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, packing
+from graphloom.llm import chat, packing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return simhash.digest(simhash.near_duplicates(docs, words=3, max_bits=3))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -35,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUERIES = {
     "op2_pack": op2_pack,
+    "op3_simhash": op3_simhash,
     "op8_chat_format": op8_chat_format,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, linededup, mixing, packing, simhash, sketch
+from graphloom.llm import chat, licenses, linededup, mixing, packing, simhash, sketch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_read(spark, sf_dir, "documents")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -81,6 +85,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM marked GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, j.text
         FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""",
+    "op7_licenses": op7_licenses,
     "op8_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,6 +115,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_simhash": op3_simhash,
     "op6_line_dedup": op6_line_dedup,
+    "op7_licenses": op7_licenses,
     "op8_chat_format": op8_chat_format,
     "op9_fingerprint": op9_fingerprint,
 }

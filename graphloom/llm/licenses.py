@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases whose every occurrence is a base label.
@@ -212,15 +211,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = {r[0].encode(): r[1] for r in counts.collect()}
     index = Index.build(df, df.get(b"", 0))
     base = tuple((tuple(words_of(p)), label) for p, label in BASE_PHRASES)
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", d.schema["doc_id"].dataType),
-            T.StructField("n_words", T.LongType()),
-            *T._parse_datatype_string(
-                "base array<struct<label string, start bigint>>, "
-                "matches array<struct<label string, start bigint, end bigint, coverage double>>"
-            ),
-        ]
+    schema = (
+        f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words bigint, "
+        "base array<struct<label: string, start: bigint>>, "
+        "matches array<struct<label: string, start: bigint, end: bigint, coverage: double>>"
     )
     kinds = [
         pa.int64(),
@@ -238,7 +232,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 bases.append(sorted(here, key=lambda r: (r["start"], r["label"])))
                 matches.append([dict(zip(("label", "start", "end", "coverage"), r, strict=True)) for r in scan(words, index)])
             columns = [b.column(0), *(pa.array(c, k) for c, k in zip((n, bases, matches), kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "base", "matches"])
 
     return d.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, licenses, linededup, mixing, packing, simhash, sketch
+from graphloom.llm import chat, licenses, linededup, mixing, packing, simhash, sketch, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(docs, words=3, max_bits=3))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs)
@@ -114,6 +118,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
     "op3_simhash": op3_simhash,
+    "op5_near_vectors": op5_near_vectors,
     "op6_line_dedup": op6_line_dedup,
     "op7_licenses": op7_licenses,
     "op8_chat_format": op8_chat_format,

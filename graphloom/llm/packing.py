@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 #: Tokens gathered before a block is packed; 4 bytes each.
 BLOCK_TOKENS = 4_000_000
 #: White-space separated chunks whose ids a worker remembers.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 #: Characters tokenized at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 #: A gap of fewer tokens is padded rather than filled with a cut piece.
 MIN_CUT = 32
 #: The last window of a block is split at powers of two down to this one.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, licenses, linededup, mixing, packing, simhash, sketch, vectors
+from graphloom.llm import chat, langid, licenses, linededup, mixing, packing, simhash, sketch, toxicity, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(docs, words=3, max_bits=3))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    out = toxicity.classify(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -114,13 +121,23 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(_read(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, ~langid.held_out())
+    out = langid.predict(docs, model)
+    rest = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
+    return out.select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_near_vectors": op5_near_vectors,
     "op6_line_dedup": op6_line_dedup,
     "op7_licenses": op7_licenses,
     "op8_chat_format": op8_chat_format,
     "op9_fingerprint": op9_fingerprint,
+    "op10_language": op10_language,
 }

@@ -1,14 +1,16 @@
 """Document fingerprints: a threshold-scaled sketch of shingle hashes, in DataFrame functions only.
 
 Of all distinct shingle hashes of a text, those below a fixed fraction of the hash range
-are kept, so the sketch grows with the text, the union of two sketches is the sketch of
-the two texts together, and the share of one sketch found in another estimates
-containment between texts of very unequal length. The smallest hash is kept as well,
-whatever its size, so that a short text has a sketch; a union keeps that property.
+are kept, so the sketch grows with the text, the union of two sketches gives the sketch of
+the two texts together, and sketches of very unequal texts can be compared: both are
+complete up to some hash, and below it containment is counted. The ``LEAST`` smallest
+hashes are kept whatever their size, so that a short text has a telling sketch too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,55 +18,73 @@ from graphloom.llm.common import WORD_GAP, text_of
 
 #: One hash in so many is kept.
 SCALE = 8
+#: So many smallest hashes are kept in any case.
+LEAST = 32
 #: Rows of a bucket of neighbouring ids.
 BUCKET_ROWS = 2000
 
 
+def _limit(scale: int) -> int:
+    """Hashes below it are kept; longs, counted from the smallest one."""
+    return -(2**63) + 2**64 // scale
+
+
+def _thin(hashes: Column, scale: int) -> Column:
+    ordered = F.sort_array(F.array_distinct(hashes))
+    return F.filter(ordered, lambda x, i: (x < F.lit(_limit(scale))) | (i < LEAST))
+
+
 def sketch(text: Column, words: int = 5, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes (unsigned order of 64 bits, as longs) below 1/scale of the range, and the smallest.
+    """Sorted distinct shingle hashes, as longs: those in the lowest 1/scale of the range, and the ``LEAST`` smallest.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space; shingles are
     ``words`` words, all of a shorter text. No words (or null): an empty array.
     """
     low = F.translate(text_of(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = F.filter(F.split(low, WORD_GAP), lambda w: w != "")
-    # signed order is kept: the hashes counted from the smallest long
-    limit = (-(2**63)) + (2**64) // scale
 
     def hashes(w: Column) -> Column:
         last = F.greatest(F.size(w) - words, F.lit(0))
         every = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(words))))
-        return F.when(
-            F.size(w) > 0,
-            F.transform(
-                F.array(every),
-                lambda h: F.concat(F.filter(h, lambda x: x < F.lit(limit)), F.array(F.array_min(h))),
-            )[0],
-        ).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(parts), hashes))))
+    return _thin(F.flatten(F.transform(F.array(parts), hashes)), scale)
 
 
-def merge(a: Column, b: Column) -> Column:
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.sort_array(F.array_union(a, b))
+    return _thin(F.concat(a, b), scale)
+
+
+def _common(a: Column, b: Column, scale: int, share: Callable[[Column, Column, Column], Column]) -> Column:
+    """``share`` of the counts in both, in a and in b, up to the hash to which both sketches are complete."""
+    top = lambda s: F.greatest(F.lit(_limit(scale) - 1), F.coalesce(F.array_max(s), F.lit(_limit(scale) - 1)))
+    return F.transform(
+        F.array(F.struct(a.alias("a"), b.alias("b"), F.least(top(a), top(b)).alias("top"))),
+        lambda s: F.transform(
+            F.array(
+                F.struct(
+                    F.filter(s["a"], lambda x: x <= s["top"]).alias("a"), F.filter(s["b"], lambda x: x <= s["top"]).alias("b")
+                )
+            ),
+            lambda t: share(F.size(F.array_intersect(t["a"], t["b"])), F.size(t["a"]), F.size(t["b"])),
+        )[0],
+    )[0]
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch found in the other: 0 to 1; two empty sketches are alike (1), one is not (0)."""
-    least = F.least(F.size(a), F.size(b))
-    return (
-        F.when(F.greatest(F.size(a), F.size(b)) == 0, F.lit(1.0))
-        .when(least == 0, F.lit(0.0))
-        .otherwise(F.size(F.array_intersect(a, b)) / least)
-        .cast("double")
-    )
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of the smaller text's shingles found in the other: 0 to 1.
+
+    Two empty sketches are alike (1); an empty one and another are not (0).
+    """
+    some = _common(a, b, scale, lambda both, x, y: both / F.greatest(F.lit(1), F.least(x, y)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(some).cast("double")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
+def jaccard(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of common shingles among all; of two empty sketches 1."""
+    some = _common(a, b, scale, lambda both, x, y: both / F.greatest(F.lit(1), x + y - both))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(some).cast("double")
 
 
 def to_hex(s: Column) -> Column:
@@ -159,8 +179,8 @@ def edited_likeness(
             lambda s: F.struct(
                 to_hex(s[0]).alias("fingerprint"),
                 to_hex(s[1]).alias("edited_fingerprint"),
-                containment(s[0], s[1]).alias("near_edited"),
-                containment(s[0], s[2]).alias("near_next"),
+                containment(s[0], s[1], scale).alias("near_edited"),
+                containment(s[0], s[2], scale).alias("near_next"),
             ),
         )[0].alias("r"),
     ).select("doc_id", "n_chars", "edited_sha256", "r.*")

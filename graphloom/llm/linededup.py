@@ -7,13 +7,14 @@ characters or more.
 
 A line's deletion neighbourhood is emitted as hashed keys; lines that meet in a key are
 within one edit, so only the earliest line of a key is joined back and no pair of a group
-is ever formed. Two facts keep this small without losing a match:
+is ever formed. It is emitted where a match is possible, in three steps that lose none:
 
-* of two lines within one edit, either the first or the second half is equal, so only
-  lines that share a half with a different line get a neighbourhood;
-* a variant's hash is put together from the hash of all before a block, the block without
-  one character, and the hash of all after it, so a line of n characters costs about
-  n * BLOCK steps and not n * n.
+* one edit leaves the beginning or the end of a line as it was, so only lines that share
+  either with a different line go on;
+* an edit lies in one block of characters, so only blocks go on whose surroundings (the
+  hash of all before, the hash of all after) two different lines share;
+* of such a block every deletion of one character is emitted, under the hash of the
+  surroundings and of what is left of the block.
 
 The edit distance of a line and the one that displaces it is verified on the texts.
 """
@@ -27,6 +28,8 @@ from graphloom.llm.common import drop_scratch, materialize
 
 #: Characters of a block of the deletion neighbourhood.
 BLOCK = 64
+#: The shared beginning or end of two near lines is cut at multiples of it.
+STEP = 8
 #: Rows of 16 bytes up to which a list of line hashes is broadcast; beyond, it is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -40,66 +43,57 @@ def line_key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    """Hashes of both halves, cut for a partner of the same length, one more, or one less."""
-    keys = []
-    for m in (n, n - 1):
-        h = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(m, F.lit("first"), F.substr(line, F.lit(1), h)))
-        keys.append(F.xxhash64(m, F.lit("second"), F.substr(line, n - (m - h) + 1)))
-    return F.array(*keys)
+def _end_keys(line: Column, n: Column) -> Column:
+    """Hashes of the first and the last h characters, h being half the length rounded down to STEP.
+
+    Lengths that differ by one have the same h, but for multiples of 2 * STEP, which take
+    both.
+    """
+    h = (F.floor(n / (2 * STEP)) * STEP).cast("int")
+    keys = lambda h: [
+        F.xxhash64(F.lit("first"), h, F.substr(line, F.lit(1), h)),
+        F.xxhash64(F.lit("last"), h, F.substr(line, n - h + 1)),
+    ]
+    return F.when(n % (2 * STEP) == 0, F.array(*keys(h), *keys(h - STEP))).otherwise(F.array(*keys(h)))
 
 
-def _neighbourhood(line: Column, n: Column) -> Column:
-    """Structs ``(key, at, whole)``: all deletions of one character, and the line itself as others reach it."""
-    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+def _blocks(line: Column, n: Column) -> Column:
+    """Structs ``(around, text, whole)`` for each block of a line.
+
+    ``around`` hashes what stands before and after the block. With ``whole`` false, the block
+    has ``BLOCK`` characters; deletions of one are to be emitted. With ``whole`` true it has
+    one less, as a line one character longer would show it after a deletion.
+    """
 
     def block(c: Column) -> Column:
         first = c * BLOCK
-        parts = F.struct(
-            F.xxhash64(F.substr(line, F.lit(1), first)).alias("before"),
-            F.substr(line, first + 1, F.lit(BLOCK)).alias("text"),
-            F.xxhash64(F.substr(line, first + BLOCK + 1)).alias("after"),
-            # as a line one character longer would be cut: one character less in this block
-            F.substr(line, first + 1, F.lit(BLOCK - 1)).alias("short"),
-            F.xxhash64(F.substr(line, first + BLOCK)).alias("rest"),
-        )
-        return F.flatten(
-            F.transform(
-                F.array(parts),
-                lambda p: F.concat(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(p["text"])),
-                        lambda i: F.struct(
-                            F.xxhash64(
-                                c,
-                                p["before"],
-                                F.concat(F.substr(p["text"], F.lit(1), i - 1), F.substr(p["text"], i + 1)),
-                                p["after"],
-                            ).alias("key"),
-                            (first + i).alias("at"),
-                        ),
-                    ),
-                    F.array(
-                        F.struct(
-                            F.xxhash64(c, p["before"], p["short"], p["rest"]).alias("key"), F.lit(0).alias("at")
-                        )
-                    ),
-                ),
+        before = F.xxhash64(F.substr(line, F.lit(1), first))
+        return F.array(
+            *(
+                F.struct(
+                    F.xxhash64(c, before, F.xxhash64(F.substr(line, first + size + 1))).alias("around"),
+                    F.substr(line, first + 1, F.lit(size)).alias("text"),
+                    F.lit(size != BLOCK).alias("whole"),
+                    first.alias("first"),
+                )
+                for size in (BLOCK, BLOCK - 1)
             )
         )
 
-    # a line that fills its blocks is reached by a longer one that has a last block of one character
-    longer = F.when(
-        n % BLOCK == 0,
-        F.array(
-            F.struct(
-                F.xxhash64(F.floor(n / BLOCK).cast("int"), F.xxhash64(line), F.lit(""), F.xxhash64(F.lit(""))).alias("key"),
-                F.lit(0).alias("at"),
-            )
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), block))
+
+
+def _variants(around: Column, text: Column, whole: Column, first: Column) -> Column:
+    """Structs ``(key, at)``: a whole block at 0, or the block without one character, at its place."""
+    cut = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
+        lambda i: F.struct(
+            F.xxhash64(around, F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))).alias("key"),
+            (first + i).alias("at"),
         ),
-    ).otherwise(F.array().cast("array<struct<key:bigint,at:int>>"))
-    return F.concat(F.flatten(F.transform(blocks, block)), longer)
+    )
+    one = F.array(F.struct(F.xxhash64(around, text).alias("key"), F.lit(0).alias("at")))
+    return F.when(whole, one).when(text != "", cut)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -110,74 +104,67 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """The values of ``key`` that lines of different ``h1`` have."""
+    both = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
+    out = materialize(both.select("key"), name)
+    return _bounded(out, out.count())
+
+
 def kept_lines(
     docs: DataFrame, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, kept array<int>)``: places of the non-blank lines that stay, for documents that keep any."""
+    if near_chars < 2 * STEP + 1:
+        raise ValueError(f"near_chars must be {2 * STEP + 1} or more")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = _lines(d).select("doc_id", "pos", *line_key(F.col("line")))
+    firsts = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "lines")
+    beaten = _beaten(d, near_chars)
+    stay = firsts.join(_bounded(beaten, beaten.count()), ["h1", "h2"], "left_anti")
+    return stay.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.pos").alias("kept"))
+
+
+def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
+    """``(h1, h2)`` of the lines that have an earlier line within one edit."""
     n = F.length("line")
-    halves = F.when(n >= near_chars - 1, _half_keys(F.col("line"), n))
-    firsts = (
-        _lines(d)
-        .select("doc_id", "pos", *line_key(F.col("line")), halves.alias("halves"))
+    long = _lines(d).filter(n >= near_chars)
+    ends = long.select(F.xxhash64("line").alias("h1"), F.explode(_end_keys(F.col("line"), n)).alias("key"))
+    shared = _shared(ends, "lines-ends")
+    texts = (
+        long.select("doc_id", "pos", "line", F.explode(_end_keys(F.col("line"), n)).alias("key"))
+        .join(shared, "key", "left_semi")
+        .select(*line_key(F.col("line")), "doc_id", "pos", "line")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.any_value("halves").alias("halves"))
+        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
     )
-    firsts = materialize(firsts, "lines")
-    keyed = firsts.filter("halves is not null").select("h1", "h2", "first", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    near = materialize(keyed.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct(), "lines-near")
-    rows = near.count()
-    if rows:
-        wanted = near.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
-        at = F.struct("doc_id", "pos")
-        texts = (
-            _lines(d)
-            .select("doc_id", "pos", "line", *line_key(F.col("line")))
-            .join(_bounded(wanted.withColumnsRenamed({"doc_id": "fd", "pos": "fp"}), rows), ["h1", "h2"])
-            .filter(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("pos") == F.col("fp")))
-            .groupBy("h1", "h2")
-            .agg(F.any_value("line").alias("line"), F.min(at).alias("first"))
-        )
-        texts = materialize(texts, "lines-text")
-        size = F.length("line")
-        keys = texts.filter(size >= near_chars - 1).select(
-            "h1", "h2", "first", size.alias("n"), F.explode(_neighbourhood(F.col("line"), size)).alias("k")
-        )
-        # at > 0: lines that are equal without that character; at = 0: a whole line, reached by deleting one anywhere
-        keys = materialize(keys.select("h1", "h2", "first", "n", "k.key", "k.at"), "lines-keys")
-        who = F.struct("first", "h1", "h2")
-        long_enough = F.col("n") >= near_chars
-        same = keys.filter((F.col("at") > 0) & long_enough).groupBy("key", "at", "n").agg(F.min(who).alias("by"))
-        replaced = keys.filter((F.col("at") > 0) & long_enough).join(same, ["key", "at", "n"]).select("h1", "h2", "first", "by")
-        whole = keys.filter((F.col("at") == 0) & long_enough).groupBy("key", F.col("n")).agg(F.min(who).alias("by"))
-        longer = keys.filter((F.col("at") > 0) & long_enough)
-        removed = longer.join(
-            whole.withColumn("n", F.col("n") + 1), ["key", "n"]
-        ).select("h1", "h2", "first", "by")
-        reach = longer.groupBy("key", "n").agg(F.min(who).alias("by")).withColumn("n", F.col("n") - 1)
-        inserted = keys.filter((F.col("at") == 0) & long_enough).join(reach, ["key", "n"]).select("h1", "h2", "first", "by")
-        beaten = (
-            replaced.unionAll(removed).unionAll(inserted)
-            .filter(F.col("by.first") < F.col("first"))
-            .groupBy("h1", "h2")
-            .agg(F.min("by").alias("by"))
-        )
-        mine = texts.select("h1", "h2", "line")
-        other = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("before"))
-        beaten = (
-            beaten.select("h1", "h2", F.col("by.h1").alias("b1"), F.col("by.h2").alias("b2"))
-            .join(mine, ["h1", "h2"])
-            .join(other, ["b1", "b2"])
-            .filter(F.levenshtein("line", "before", 1) >= 0)
-            .select("h1", "h2")
-        )
-        beaten = materialize(beaten, "lines-beaten")
-        stay = firsts.join(_bounded(beaten, rows), ["h1", "h2"], "left_anti")
-        drop_scratch(keys)
-    else:
-        stay = firsts
-    return stay.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.pos").alias("kept"))
+    texts = materialize(texts, "lines-text")
+    who = F.struct("first", "h1", "h2").alias("who")
+    blocks = texts.select("h1", who, n.alias("n"), F.explode(_blocks(F.col("line"), n)).alias("b"))
+    blocks = blocks.select("h1", "who", "n", F.col("b.around").alias("key"), "b.text", "b.whole", "b.first")
+    near = blocks.join(_shared(blocks, "lines-blocks"), "key", "left_semi")
+    keys = near.select("who", "n", F.explode(_variants(F.col("key"), F.col("text"), F.col("whole"), F.col("first"))).alias("k"))
+    keys = materialize(keys.select("who", "n", "k.key", "k.at"), "lines-keys")
+    cut, whole = keys.filter("at > 0"), keys.filter("at = 0")
+    least = F.min("who").alias("by")
+    # equal without the character at one place; a longer line that becomes this one; a line that this one becomes
+    replaced = cut.join(cut.groupBy("key", "at", "n").agg(least), ["key", "at", "n"])
+    removed = cut.join(whole.groupBy("key", (F.col("n") + 1).alias("n")).agg(least), ["key", "n"])
+    added = whole.join(cut.groupBy("key", (F.col("n") - 1).alias("n")).agg(least), ["key", "n"])
+    by = replaced.select("who", "by").unionAll(removed.select("who", "by")).unionAll(added.select("who", "by"))
+    by = by.filter("by.first < who.first").groupBy("who").agg(F.min("by").alias("by"))
+    mine = texts.select("h1", "h2", "line")
+    other = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("before"))
+    out = (
+        by.select("who.h1", "who.h2", F.col("by.h1").alias("b1"), F.col("by.h2").alias("b2"))
+        .join(mine, ["h1", "h2"])
+        .join(other, ["b1", "b2"])
+        .filter(F.levenshtein("line", "before", 1) >= 0)
+        .select("h1", "h2")
+    )
+    out = materialize(out, "lines-beaten")
+    drop_scratch(keys, texts)
+    return out
 
 
 def dedup_lines(

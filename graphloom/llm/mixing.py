@@ -255,3 +255,13 @@ def mix(
     return out.join(F.broadcast(p) if len(order) <= 100_000 else p, "group").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def resample(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", **columns: str) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` takes it.
+
+    Rows that repeat an id share their copies: each is taken as often as the first of them.
+    """
+    copies = mix(docs, seed=seed, id_col=id_col, **columns).groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
+    out = docs.join(copies.withColumnRenamed("doc_id", "__mix_id"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return out.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(docs.columns)

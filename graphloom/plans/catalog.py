@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from graphloom.plans import graphs, linking, logs, retrieval
+
+QUERIES = {**graphs.QUERIES, **retrieval.QUERIES, **linking.QUERIES, **logs.QUERIES}
+ORACLE_SQL: dict[str, str] = {**graphs.ORACLE_SQL, **retrieval.ORACLE_SQL, **linking.ORACLE_SQL, **logs.ORACLE_SQL}
 FLAGSHIP = "bm25_topk"

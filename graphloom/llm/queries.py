@@ -96,7 +96,6 @@ ORACLE_SQL: dict[str, str] = {
             FROM marked GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, j.text
         FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id""",
-    "op7_licenses": op7_licenses,
     "op8_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

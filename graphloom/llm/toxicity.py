@@ -4,7 +4,9 @@ Logistic regression on the presence of telling words. For labelled texts that na
 of people, the group's term is swapped for another of its family, and the change of the
 score's logit is penalised, so a mention of a group in itself moves no score.
 
-Words are chosen by the z value of their log-odds between toxic and other labelled texts.
+Words are chosen by their log-odds between toxic and other labelled texts: where chance would
+not explain them, those with the highest lower confidence bound, so a word that stands in
+toxic texts alone goes before a commoner one that a group of copies shares.
 Labels of a bounded sample are learned from: ``per_label`` rows a label in expectation.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -40,8 +43,12 @@ IDENTITY_TERMS = (
     ("old", "young"),
 )
 SWAP = {w: f[(i + 1) % len(f)] for f in IDENTITY_TERMS for i, w in enumerate(f)}
-#: Least z value of a telling word, and most words of a model.
-LEAST_Z, MODEL_WORDS = 3.0, 2000
+#: A word must stand in so many toxic texts; a model has so many at most.
+LEAST_TEXTS, MODEL_WORDS = 3, 300
+#: Words that chance alone would choose, in expectation; sets the z value that is asked for.
+CHANCE_WORDS = 0.5
+#: Standard errors by which the bound that ranks words lies below their log-odds.
+BOUND = 2.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -95,8 +102,9 @@ def fit(
     x = np.stack([vector(ws) for ws, *_ in rows])
     y = np.array([y for _, y, _ in rows], float)
     c = np.array([c for *_, c in rows])
-    diff = np.stack([vector(ws) - vector(swapped(ws)) for ws, *_ in rows])
-    pull = penalty * (diff.T * c) @ diff
+    named = [(ws, n) for ws, _, n in rows if swapped(ws) != ws]
+    diff = np.array([vector(ws) - vector(swapped(ws)) for ws, _ in named]).reshape(-1, len(vocabulary) + 1)
+    pull = penalty * (diff.T * np.array([n for _, n in named])) @ diff
     pull[np.diag_indices_from(pull)] += np.append(np.full(len(vocabulary), l2), 1e-6)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -155,15 +163,16 @@ def train(
     each = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     a, b = F.col("a"), F.col("n") - F.col("a")
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (other - b + 0.5))
-    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    telling = each.filter("a >= 3").select("word", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-    words = [r[0] for r in telling.orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()]
+    error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (other - b + 0.5))
+    each = materialize(each.filter(a >= LEAST_TEXTS).select("word", odds.alias("odds"), error.alias("error")), "toxic-words")
+    least = NormalDist().inv_cdf(1 - min(0.5, CHANCE_WORDS / max(1, each.count())))
+    telling = each.filter(F.col("odds") / F.col("error") >= least).withColumn("low", F.col("odds") - BOUND * F.col("error"))
+    words = [r[0] for r in telling.orderBy(F.desc("low"), "word").select("word").limit(MODEL_WORDS).collect()]
     wanted = F.array(*[F.lit(w) for w in sorted({*words, *SWAP})])
     sample = rows.select("y", F.array_intersect("words", wanted).alias("w")).groupBy("y", F.array_sort("w").alias("w")).count().collect()
-    # rows stand for as many as they were drawn from
-    up = {y: counts[y] / max(1, size.get(y, 1)) for y in counts}
-    scale = 1 / max(min(up.values()), 1e-12)
-    return fit([(set(r["w"]), r["y"], r["count"] * up[r["y"]] * scale) for r in sample], words, penalty)
+    # both labels weigh the same together, so 0.5 is as far from either
+    weight = {1: min(1.0, other / toxic), 0: min(1.0, toxic / other)}
+    return fit([(set(r["w"]), r["y"], r["count"] * weight[r["y"]]) for r in sample], words, penalty)
 
 
 def score_column(spark: object, model: Model, text: Column) -> Column:

@@ -89,7 +89,7 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     parts = read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("function").alias("kind"), F.lower(F.replace(F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")), F.lit(" "), F.lit("_"))).alias("name"))
-    f = spark.createDataFrame([(1, "part_10"), (2, "Part_1"), (3, "abc"), (4, "_199_")], "query_id int, fragment string")
+    f = spark.createDataFrame([(1, "ring_15"), (2, "Widget_7"), (3, "abc"), (4, "bolt_99"), (5, "gear_1")], "query_id int, fragment string")
     return link.fragment_hits(f, parts)
 
 
@@ -242,7 +242,7 @@ ORACLE_SQL = {
         m AS (SELECT *, count(*) OVER (PARTITION BY mention) AS k FROM d WHERE n > 4 AND lang IN ('fr', 'es'))
         SELECT q.query_id::INT AS query_id, mention, id FROM d, (SELECT unnest([1, 2]) AS query_id) q WHERE n <= 4 UNION ALL SELECT 2, mention, id FROM m WHERE k <= 4""",
     "fragments": """WITH p AS (SELECT 'p' || p_partkey AS id, lower(replace(p_name || '_' || p_partkey, ' ', '_')) AS name FROM part),
-        f AS (SELECT * FROM (VALUES (1, 'part_10'), (2, 'part_1')) t(query_id, fragment)),
+        f AS (SELECT * FROM (VALUES (1, 'ring_15'), (2, 'widget_7'), (4, 'bolt_99'), (5, 'gear_1')) t(query_id, fragment)),
         h AS (SELECT query_id, fragment, id, count(*) OVER (PARTITION BY query_id) AS n FROM p JOIN f ON contains(name, fragment))
         SELECT query_id, fragment, id FROM h WHERE n <= 8""",
     "intent": f"""WITH c AS (SELECT lower(text || (['' || ' fix it', ' add this', ' why?', ' 삭제 수정', ''])[conv_id % 5 + 1]) AS t FROM conversations WHERE role = 'user'),

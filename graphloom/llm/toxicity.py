@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Logistic regression on the presence of telling words. For labelled texts that name a group
-of people, the group's term is swapped for another of its family, and the change of the
-score's logit is penalised, so a mention of a group in itself moves no score.
+of people, the group's term is swapped for another of its family and for none, and the
+change of the score's logit is penalised, so a mention of a group in itself moves no score.
 
 Words are chosen by their log-odds between toxic and other labelled texts: where chance would
 not explain them, those with the highest lower confidence bound, so a word that stands in
@@ -77,8 +77,8 @@ def fit(
 ) -> Model:
     """Newton's method on ``(words, label, weight)`` rows.
 
-    Minimises the log-loss plus ``l2`` |w|^2 / 2 plus, for each row that changes when swapped,
-    ``penalty`` times half the squared change of its logit.
+    Minimises the log-loss plus ``l2`` |w|^2 / 2 plus, for each row that names a group and both
+    its counterfactuals, ``penalty`` times half the squared change of its logit.
     """
     vocabulary = sorted({*words, *(w for ws, *_ in rows for w in ws if w in SWAP)})
     vocabulary = sorted({*vocabulary, *(SWAP[w] for w in vocabulary if w in SWAP)})
@@ -102,9 +102,9 @@ def fit(
     x = np.stack([vector(ws) for ws, *_ in rows])
     y = np.array([y for _, y, _ in rows], float)
     c = np.array([c for *_, c in rows])
-    named = [(ws, n) for ws, _, n in rows if swapped(ws) != ws]
-    diff = np.array([vector(ws) - vector(swapped(ws)) for ws, _ in named]).reshape(-1, len(vocabulary) + 1)
-    pull = penalty * (diff.T * np.array([n for _, n in named])) @ diff
+    named = [(ws, other, n) for ws, _, n in rows if swapped(ws) != ws for other in (swapped(ws), ws - SWAP.keys())]
+    diff = np.array([vector(ws) - vector(other) for ws, other, _ in named]).reshape(-1, len(vocabulary) + 1)
+    pull = penalty * (diff.T * np.array([n for *_, n in named])) @ diff
     pull[np.diag_indices_from(pull)] += np.append(np.full(len(vocabulary), l2), 1e-6)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):

@@ -6,6 +6,10 @@ is decided by the cube method: the vector of probabilities moves within the null
 the balancing constraints until nearly all entries are 0 or 1, so the taken words and the
 taken documents of a source both meet their expectation; a small landing problem remains.
 
+A document that holds a large share of its source's words cannot be balanced by the others.
+Such documents, at most 1 / ``OUTLIER`` a source, are decided first, one by one, as the words
+still to be taken allow, and the probabilities of the others make up for the outcome.
+
 The flight runs in blocks dealt by a hash of the document, few units at a time, and
 leaves at most two undecided units a block and source. What the blocks leave is gathered
 and flown again by source; the landing gives up the document count, then rounds one unit.
@@ -13,6 +17,7 @@ and flown again by source; the landing gives up the document count, then rounds
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ BLOCK_ROWS = 2_000
 #: Undecided units of a source up to which it is flown in one go.
 GATHER_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Share of its source's words from which a document is decided before all others.
+OUTLIER = 0.01
 _EDGE = 1e-9
 
 
@@ -133,6 +140,22 @@ class Flight:
         self.size = [self.size[i] for i in stay]
 
 
+def decide_outliers(sizes: list[int], words: float, rest: float, seed: int) -> tuple[list[int], float]:
+    """0 or 1 for each of ``sizes`` (largest first), and the words left for the others.
+
+    ``words`` are to be taken in all, ``rest`` are those of the other units. A unit is taken
+    with the probability that is left, unless it exceeds what is still wanted or the units
+    after it could not fill that.
+    """
+    rng, out, after = np.random.default_rng(seed % 2**63), [], rest + sum(sizes)
+    for n in sizes:
+        chance, after = words / after if after else 0.0, after - n
+        take = n <= words and (words > after or rng.random() < chance)
+        words -= n * take
+        out.append(int(take))
+    return out, words
+
+
 def _fly(units: DataFrame, seed: int, land: bool) -> DataFrame:
     """Fly each ``(source, block)`` of ``units``, sorted and streamed: a task holds few units, not a block.
 
@@ -198,7 +221,7 @@ def mix(
 
     ``size`` counts words (null text: 0); ``copies`` says how often the mix takes the
     document and ``taken`` is copies * size. A source's taken words differ from its target by
-    less than a few of its smaller documents. The result depends on the rows and ``seed``
+    about one of its smaller documents. The result depends on the rows and ``seed``
     alone, not on how they are split, but for rows that are equal in id, source and size,
     which may swap places. A source without words has target 0 and is not taken. A null
     source is a source of its own. Other columns are ignored. No rows: no rows.
@@ -211,28 +234,41 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
     )
-    d = materialize(d, "mix")
-    sums = {r[0]: r[1] for r in d.groupBy("source").agg(F.sum("size")).collect()}
-    counts = {r[0]: r[1] for r in d.groupBy("source").count().collect()}
+    d = materialize(d.withColumn("row", F.monotonically_increasing_id()), "mix")
+    totals = {r["source"]: r for r in d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()}
+    sums = {s: r["size"] for s, r in totals.items()}
     aim = targets(sums, weights, share, most)
     order = sorted(sums, key=lambda s: (s is None, s or ""))
+    ratio = [aim[s] / sums[s] if sums[s] else 0.0 for s in order]
+    part = [r - math.floor(r) if _EDGE < r - math.floor(r) < 1 - _EDGE else 0.0 for r in ratio]
+    sure = [round(r) if p == 0 else math.floor(r) for r, p in zip(ratio, part, strict=True)]
+    blocks = [max(1, totals[s]["rows"] // BLOCK_ROWS) for s in order]
     plan = spark.createDataFrame(
-        [(s, i, int(sums[s]), float(aim[s]), aim[s] / sums[s] if sums[s] else 0.0, max(1, counts[s] // BLOCK_ROWS)) for i, s in enumerate(order)],
-        "source string, group int, source_size long, target double, ratio double, blocks int",
-    )
-    d = d.join(plan.withColumnRenamed("source", "plan_source"), d["source"].eqNullSafe(F.col("plan_source")))
+        [(s, i, int(sums[s]), float(aim[s]), sure[i], part[i], blocks[i]) for i, s in enumerate(order)],
+        "plan_source string, group int, source_size long, target double, sure int, part double, blocks int",
+    )
+    d = d.join(plan.select("plan_source", "group", "source_size", "part", "blocks"), d["source"].eqNullSafe(F.col("plan_source")))
     tie = F.xxhash64(F.lit(seed), "doc_id", "size")
-    units = d.select(
-        "doc_id",
-        "source",
-        "size",
-        "group",
-        F.pmod(tie, F.col("blocks").cast("long")).cast("int").alias("block"),
-        tie.alias("tie"),
-        (F.col("ratio") - F.floor("ratio")).alias("pi"),
+    outlier = (F.col("part") > 0) & (F.col("size") > F.col("source_size") * OUTLIER)
+    large = d.filter(outlier).select("group", "size", tie.alias("tie"), "doc_id", "row").collect()
+    large.sort(key=lambda r: (r["group"], -r["size"], r["tie"], r["doc_id"] is None, r["doc_id"] or 0))
+    decided_rows, left_part = [], dict(enumerate(part))
+    for i, s in enumerate(order):
+        mine = [r for r in large if r["group"] == i]
+        rest = sums[s] - sum(r["size"] for r in mine)
+        choice, words = decide_outliers([r["size"] for r in mine], part[i] * sums[s], rest, hash((seed, i)))
+        decided_rows += [(r["row"], x) for r, x in zip(mine, choice, strict=True)]
+        left_part[i] = min(1.0, max(0.0, words / rest)) if mine and rest else part[i]
+    parts = spark.createDataFrame(sorted(left_part.items()), "group int, pi double")
+    units = (
+        d.filter(~outlier)
+        .join(parts, "group")
+        .select("doc_id", "source", "size", "row", "group", F.pmod(tie, F.col("blocks").cast("long")).cast("int").alias("block"), tie.alias("tie"), "pi")
     )
+    chosen = spark.createDataFrame(decided_rows, "row long, extra int")
+    outliers = d.filter(outlier).join(chosen, "row").select("doc_id", "source", "size", "row", "group", F.lit(0).alias("block"), tie.alias("tie"), F.lit(0.0).alias("pi"), "extra")
     flown = materialize(_fly(units, seed, land=False), "mix-flown")
-    decided = [flown.filter("extra is not null")]
+    decided = [outliers, flown.filter("extra is not null")]
     level = 0
     while True:
         open_units = flown.filter("extra is null").drop("extra")
@@ -250,7 +286,7 @@ def mix(
     out = decided[0]
     for more in decided[1:]:
         out = out.unionAll(more)
-    p = plan.select("group", "source_size", "target", F.floor("ratio").cast("int").alias("sure"))
+    p = plan.select("group", "source_size", "target", "sure")
     copies = (F.col("sure") + F.col("extra")).cast("int")
     return out.join(F.broadcast(p) if len(order) <= 100_000 else p, "group").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

@@ -122,3 +122,22 @@ def markdown_item(title: Column, detail: Column) -> Column:
 def html_row(*cells: Column) -> Column:
     esc = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.coalesce(esc(c), F.lit("")), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+
+
+def read_overlay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Hand-made notes of ``{"node_overrides": {id: {...}}, "custom_edges": [...]}`` as two tables."""
+    schema = (
+        "node_overrides map<string, struct<summary: string, note: string, deprecated: boolean, redirect: string, tags: array<string>>>, "
+        "custom_edges array<struct<src: string, dst: string, kind: string, note: string>>"
+    )
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    nodes = doc.select(F.explode("node_overrides").alias("id", "o")).select("id", "o.*")
+    return nodes, doc.select(F.explode("custom_edges").alias("e")).select("e.*")
+
+
+def pick_routing_tables(rows: DataFrame) -> DataFrame:
+    """Of the extracted gateway rows, those of each repository's main table: least depth, shortest name, first path."""
+    where = rows.filter("kind = 'gateway_route'").select("repo", "path").distinct()
+    rank = F.struct(F.size(F.split("path", "/")), F.length(F.element_at(F.split("path", "/"), -1)), F.col("path"))
+    main = where.groupBy("repo").agg(F.min(rank).alias("r")).select("repo", F.col("r.path").alias("path"))
+    return rows.join(main, ["repo", "path"], "left_semi")

@@ -13,6 +13,7 @@ repeats its own tasks only.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tokens gathered before a block is packed; 4 bytes each.
-BLOCK_TOKENS = 4_000_000
-#: White-space separated chunks whose ids a worker remembers.
-CACHE_CHUNKS = 1_000_000
-#: Characters tokenized at once.
-BATCH_CHARS = 8_000_000
+BLOCK_TOKENS = 3_000_000
+#: Chunks tokenized as one text.
+GROUP = 250
+#: Letters a-z and digits as ``a``, full stops and commas as ``.``, white space as a space, all else as ``p``.
+CHARACTER_KINDS = bytes(
+    97 if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 46 if c in b".," else 32 if c in b" \t\n\v\f\r" else 112
+    for c in range(256)
+)
+#: A full stop or comma that ends a word.
+LONE_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D])")
 #: A gap of fewer tokens is padded rather than filled with a cut piece.
 MIN_CUT = 32
 #: The last window of a block is split at powers of two down to this one.
@@ -178,10 +184,10 @@ class ChunkTokenizer:
     For tokenizers that lower-case, drop white space and never join across it (as the
     pre-tokenizer of ``word_bpe_49k.json``), the ids of a text are its chunks' ids one after
     another. Chunks repeat more often for two rewrites that leave the ids as they are: A-Z
-    is lower-cased, and a full stop or comma after a last letter a-z counts as a chunk of its
-    own (it is one to the pre-tokenizer). Texts with combining marks, which could compose
-    with a letter of one case only, or with ``<|``, which may begin a special token, are not
-    lower-cased. Chunks are tokenized many at a time, apart by ``MARK``, whose one id occurs
+    is lower-cased, and a full stop or comma between a letter a-z or digit and white space
+    becomes a chunk of its own (it is one to the pre-tokenizer). Texts with combining marks,
+    which could compose with a letter of one case only, or with ``<|``, which may begin a
+    special token, are not rewritten. Chunks are tokenized many at a time, apart by ``MARK``, whose one id occurs
     in no other chunk.
     """
 
@@ -192,8 +198,8 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.known: dict[bytes, bytes] = {}
+        self.most = 1_000_000
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.point = {c: self.one(chr(c)) for c in b".,"}
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -201,8 +207,14 @@ class ChunkTokenizer:
     @staticmethod
     def chunks(text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
-        if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:
-            raw = raw.lower()
+        if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
+            return raw.split()
+        raw = raw.lower() + b"\n"
+        kinds = raw.translate(CHARACTER_KINDS)
+        if b"p. " in kinds or b".. " in kinds:
+            return LONE_MARK.sub(rb" \1", raw).split()
+        for mark in (b". ", b", ", b".\n", b",\n"):
+            raw = raw.replace(mark, b" " + mark)
         return raw.split()
 
     def learn(self, fresh: list[bytes]) -> None:
@@ -211,29 +223,23 @@ class ChunkTokenizer:
             known[w] = self.one(w.decode())
         fresh = [w for w in fresh if w not in known]
         for k in range(0, len(fresh), 20_000):
-            part = [fresh[i : i + 50] for i in range(k, min(k + 20_000, len(fresh)), 50)]
+            part = [fresh[i : i + GROUP] for i in range(k, min(k + 20_000, len(fresh)), GROUP)]
             texts = [b" \x01 ".join(words).decode() for words in part]
             got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for words, e in zip(part, got, strict=True):
                 ids = np.array(e.ids, "<u4")
-                data, at = ids.tobytes(), 0
-                for w, end in zip(words, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(data)], strict=True):
-                    known[w] = data[at:end]
-                    at = end + 4
+                data = ids.tobytes()
+                ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
+                cuts = map(slice, [0, *(x + 4 for x in ends)], [*ends, len(data)])
+                known.update(zip(words, map(data.__getitem__, cuts), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
         here = set().union(*split)
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > self.most:
             self.known = {w: self.known[w] for w in here & self.known.keys()}
-        fresh = here - self.known.keys()
-        ended = [w for w in fresh if w[-1] in b".," and 97 <= w[-2:][0] <= 122]
-        fresh.difference_update(ended)
-        fresh.update(w[:-1] for w in ended)
-        self.learn(list(fresh - self.known.keys()))
-        known, point = self.known, self.point
-        for w in ended:
-            known[w] = known[w[:-1]] + point[w[-1]]
+        self.learn(list(here - self.known.keys()))
+        known = self.known
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -256,6 +262,8 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     depth: int = 3,
+    cache_chunks: int = 1_000_000,
+    batch_chars: int = 8_000_000,
 ) -> DataFrame:
     """One row per piece: ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_tokens)``.
 
@@ -268,6 +276,8 @@ def pack(
     packed separately. Texts longer than a window are cut. Other columns are ignored. No
     rows: no rows. ``sequence_id`` is unique; it depends on how the input is split.
 
+    A worker remembers the ids of ``cache_chunks`` chunks (about 200 bytes each) and splits
+    ``batch_chars`` characters at once (about 10 bytes each); fewer cost time, not results.
     The tokenizer file is read on the driver and sent to the workers as it is (a few MB,
     whatever the input).
     """
@@ -295,6 +305,7 @@ def pack(
         from pyspark import TaskContext
 
         tokenizer = worker_tokenizer(spec.value)
+        tokenizer.most = cache_chunks
         ids_type = None
         number = count(TaskContext.get().partitionId() << 36)
         ids: list = []
@@ -342,7 +353,7 @@ def pack(
                 ids.append(i)
                 waiting.append(text.as_py() or "")
                 chars += len(waiting[-1])
-                if chars >= BATCH_CHARS:
+                if chars >= batch_chars:
                     tokenize()
                     chars = 0
                     if held >= BLOCK_TOKENS:

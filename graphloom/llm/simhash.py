@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,3 +124,140 @@ def near_duplicates(
 def digest(near: DataFrame) -> DataFrame:
     """The columns of the SimHash query."""
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Documents of a given similarity. Three bits of 64 mean nearly equal texts; for lower
+# similarities a document gets a long fingerprint, and the embedding is used cell by cell.
+
+#: Two-bit segments of a grid cell, by distinct texts; cells then hold few unrelated texts.
+CELL_SEGMENTS = ((1_000_000, 10), (None, 15))
+#: Neighbours before it, in the order of another part of the fingerprint, that a text is compared with in a cell.
+NEIGHBOURS = 3
+
+
+def bit_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts of like size whose sets of shingles have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def plan_cells(texts: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Segments of a cell and 64-bit words of the fingerprint.
+
+    A two-bit segment keeps its count where neither bit or both of unequal bits change. Of a
+    pair that shares a cell, four fifths are taken to come near each other in it.
+    """
+    segments = next(w for most, w in CELL_SEGMENTS if most is None or texts <= most)
+    p = bit_share(similarity)
+    meet = 0.8 * ((1 - p) ** 2 + p * p / 2) ** segments
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+    return segments, -(-tables // (32 // segments))
+
+
+def long_fingerprint(text: str | None, words: int, longs: int) -> tuple[int, np.ndarray]:
+    """A hash of the words of a text, and its SimHash of ``longs`` 64-bit words over distinct shingles."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    same = xxhash.xxh64_intdigest(b" ".join(w), 42)
+    if not w:
+        return same, np.zeros(longs, np.int64)
+    size = min(words, len(w))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    h = np.unique(np.array([digest(join(s), 42) for s in zip(*(w[k : len(w) - size + 1 + k] for k in range(size)))], np.uint64))
+    odd = np.arange(1, 2 * longs, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    place = (np.arange(longs * 8, dtype=np.int64) * 256).reshape(longs, 1, 8)
+    seen = np.zeros(longs * 8 * 256, np.int64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        mixed = odd[:, None] * part
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        cells = mixed.view(np.uint8).reshape(longs, len(part), 8) + place
+        seen += np.bincount(cells.ravel(), minlength=len(seen))
+    ones = seen.reshape(longs * 8, 256).astype(np.float32) @ BYTE_BITS
+    bits = ones.reshape(longs, 64) * 2 > len(h)
+    return same, np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
+
+
+#: The bits of each byte value.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+
+
+def _long_fingerprints(docs: DataFrame, words: int, longs: int, id_col: str, text_col: str) -> DataFrame:
+    import pyarrow as pa
+
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [long_fingerprint(x.as_py(), words, longs) for x in b.column(1)]
+            same = pa.array(np.array([s for s, _ in got], np.uint64).view(np.int64), pa.int64())
+            codes = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(got) + 1) * longs, pa.int32()), pa.array(np.concatenate([c for _, c in got]) if got else [], pa.int64())
+            )
+            yield pa.RecordBatch.from_arrays([b.column(0), same, codes], names=["doc_id", "same", "code"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, same bigint, code array<bigint>")
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, component_id)``: documents link when their fingerprints put their Jaccard similarity at ``similarity`` or more.
+
+    Texts with equal words are compared once. The long fingerprint's two-bit segments are
+    embedded as bit counts; texts in one grid cell of the embedding are sorted by another part
+    of the fingerprint, and near ones among ``NEIGHBOURS`` before each are compared over the
+    whole fingerprint, exactly. So candidates grow with the texts, not with the square of a
+    group, and a hot group costs no task more than its sorted rows. A single pair at the
+    threshold is met with probability ``recall``, closer ones and pairs in groups with more.
+
+    Null and empty texts are alike. Every row returns one row; null ids are kept. Other
+    columns are ignored. No rows: no rows.
+    """
+    about = docs.count()
+    segments, longs = plan_cells(about, similarity, recall)
+    fields = 32 // segments
+    d = materialize(_long_fingerprints(docs, words, longs, id_col, text_col), "similar")
+    texts = materialize(d.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("code").alias("code")), "similar-texts")
+    mask = F.lit((1 << (2 * segments)) - 1).cast("long")
+    half = F.lit(0x5555555555555555 & ((1 << (2 * segments)) - 1)).cast("long")
+
+    def cell(code: Column, t: Column) -> Column:
+        value = F.shiftrightunsigned(F.get(code, F.floor(t / fields).cast("int")), 0)
+        out = value
+        for k in range(1, fields):
+            out = F.when(t % fields == k, F.shiftrightunsigned(value, 2 * segments * k)).otherwise(out)
+        out = out.bitwiseAND(mask)
+        return F.struct(
+            t.alias("table"),
+            (out - F.shiftright(out, 1).bitwiseAND(half)).alias("cell"),
+            F.get(code, (F.floor(t / fields) + 1).cast("int") % longs).alias("near"),
+        )
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(longs * fields - 1)), lambda t: cell(F.col("code"), t))
+    first = lambda k: F.get(F.col("code"), F.lit(k))
+    cells = texts.select("same", first(0).alias("x"), first(longs // 2).alias("y"), F.explode(every).alias("c"))
+    order = Window.partitionBy("c.table", "c.cell").orderBy("c.near", "same")
+    mine = F.struct("same", "x", "y")
+    before = F.array(*(F.lag(mine, k + 1).over(order) for k in range(NEIGHBOURS)))
+    p = bit_share(similarity)
+    close = int(128 * p + 4 * (128 * p * (1 - p)) ** 0.5)
+    pairs = cells.select("same", "x", "y", before.alias("before")).select(
+        F.col("same").alias("src"),
+        F.explode(
+            F.filter(
+                "before",
+                lambda o: o.isNotNull()
+                & (F.bit_count(o["x"].bitwiseXOR(F.col("x"))) + F.bit_count(o["y"].bitwiseXOR(F.col("y"))) <= close),
+            )
+        ).alias("o"),
+    )
+    pairs = pairs.select(F.least("src", "o.same").alias("src"), F.greatest("src", "o.same").alias("dst")).distinct()
+    a, b = texts.select(F.col("same").alias("src"), F.col("code").alias("ca")), texts.select(F.col("same").alias("dst"), F.col("code").alias("cb"))
+    bits = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    links = pairs.join(a, "src").join(b, "dst").filter(bits <= int(64 * longs * p)).select("src", "dst")
+    roots = connected_components(links)
+    near = texts.join(roots, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("root", "same").alias("root"))
+    least = near.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = near.join(least, "root").select("same", "component_id")
+    return d.select("doc_id", "same").join(of, "same").select("doc_id", "component_id")

@@ -236,6 +236,22 @@ def test_grid_finds_all_pairs_within_three_bits(spark):
     assert got == expected
 
 
+def test_similar_documents(spark, empty):
+    rng = random.Random(15)
+    texts, group = list(AWKWARD), []
+    for _ in range(60):
+        base = words(rng, 200, 5000).split()
+        group.append(len(texts))
+        texts += [" ".join(base), " ".join(base).upper(), " ".join([*base[:100], "new", *base[101:]]), " ".join([*base[:100], *words(rng, 100, 5000).split()])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert [got[i] for i in (0, 1, 2, 3)] == [0] * 4 and got[8] == got[9] == 8
+    for i in group:
+        assert got[i] == got[i + 1] == i and got[i + 3] == i + 3
+    assert sum(got[i + 2] == i for i in group) >= 58
+    assert simhash.similar_documents(empty).count() == 0
+
+
 # 4 toxicity
 
 

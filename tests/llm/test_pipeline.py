@@ -31,7 +31,7 @@ def test_stages_keep_the_columns_and_only_drop_rows(spark):
 def test_near_duplicates_leave_one_of_each_group(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
-    groups = simhash.near_duplicates(docs, 5, 3).select("component_id").distinct().count()
+    groups = simhash.similar_documents(docs).select("component_id").distinct().count()
     assert kept.count() == groups
     twice = docs.unionAll(docs.withColumn("doc_id", docs["doc_id"] + 1_000_000))
     assert corpus_pipeline.drop_near_duplicates(spark, twice, SF).count() == groups

@@ -53,7 +53,14 @@ def words(text: Column | str) -> Column:
 
 def versions(text: Column | str) -> Column:
     """Dotted version literals, whole."""
-    return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(VERSION), F.lit(0))
+    c = F.coalesce(_col(text), F.lit(""))
+    found = F.regexp_extract_all(c, F.lit(VERSION), F.lit(0))
+    return F.when(c.rlike(r"\d\.\d"), found).otherwise(F.array().cast("array<string>"))
+
+
+def has_tokens(text: Column | str) -> Column:
+    """Whether a text has any token; far cheaper than the tokens."""
+    return F.coalesce(_col(text), F.lit("")).rlike("[0-9A-Za-z가-힣]")
 
 
 def tokenize(text: Column | str) -> Column:

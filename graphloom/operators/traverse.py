@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import cut
@@ -104,15 +104,22 @@ def pagerank(
     e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     share = e.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
     e = cut(e.join(share, "src").select("src", "dst", "fan"), "pagerank-edges")
-    rank = cut(ids.join(share.select(F.col("src").alias("id"), "fan"), "id", "left").select("id", F.col("fan").isNull().alias("sink"), F.lit(1.0 / n).alias("rank")), "pagerank0")
+    # a rank is base + damping * what came in; the ranks add up to 1, so what sinks hold is 1 less all that was sent
+    base, got = 1.0 / n, None
     for i in range(rounds):
-        lost = rank.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        sent = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("fan")).alias("got"))
-        new = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        rank = rank.drop("rank").join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "sink", new.alias("rank"))
-        if (i + 1) % 4 == 0 or i + 1 == rounds:
-            rank = cut(rank, f"pagerank{i + 1}")
-    return rank.select("id", "rank")
+        if got is None:
+            rank = F.lit(base)
+            sent = e
+        else:
+            rank = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
+            sent = e.join(got.withColumnRenamed("id", "src"), "src", "left")
+        sums = Observation()
+        new = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(rank / F.col("fan")).alias("got"))
+        got = cut(new.observe(sums, F.coalesce(F.sum("got"), F.lit(0.0)).alias("all")), f"pagerank{i + 1}")
+        base = (1 - damping) / n + damping * (1 - sums.get["all"]) / n
+    if got is None:
+        return ids.withColumn("rank", F.lit(base))
+    return ids.join(got, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
 
 
 def centrality(ranks: DataFrame) -> DataFrame:

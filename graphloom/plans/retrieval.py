@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import tokenize
+from graphloom.functions.text import has_tokens, tokenize
 from graphloom.operators import evaluate, fuse, profile, rank
+from graphloom.plans.scratch import cut
 from graphloom.plans.tables import TOKENS_SQL, read, trade_graph
 
 TEXT_ONLY = {"text": 1}
@@ -49,13 +50,14 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     Documents are cut down to the questions' terms while they are scanned, so neither shuffle
     carries a term that no question has.
     """
-    tokens = rank.tokens_of_queries(questions)
+    tokens = cut(rank.tokens_of_queries(questions), "query-tokens")
     small = tokens.count() <= rank.BROADCAST_TOKENS
     wanted = tokens.select(F.col("token").alias("term")).distinct()
-    # counting inside each document first keeps the exploded rows few
     t = docs.select("id", F.explode(tokenize("text")).alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    postings = t.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = docs.filter(F.size(tokenize("text")) > 0).count()
+    # one shuffle, by document: counts and scores of a document then meet in one task
+    postings = t.repartition("id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.filter(has_tokens("text")).count()
+    postings = cut(postings, "postings")
     terms = rank.terms_of(postings, total).select("term", "idf")
     weighted = tokens.withColumnRenamed("token", "term").join(terms, "term")
     hits = postings.join(F.broadcast(weighted) if small else weighted, "term")
@@ -101,9 +103,7 @@ def bm25_priors(spark: SparkSession, d: str) -> DataFrame:
     """Search over weighted fields with kind, test and repository priors, deprecated nodes left out."""
     index = rank.Index.build(_nodes(spark, d))
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("fr "), F.substring("text", 1, 80))).otherwise(F.substring("text", 1, 80)).alias("text"))
-    hits = rank.search(index, q, 1_000_000, prefixes=False)
-    s = hits.select("query_id", "id", "exact", "partial", F.round("score", 6).alias("score"))
-    return rank.top_k(s, 10, F.desc("exact"), F.desc("partial"), F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
+    return rank.search(index, q, 10, prefixes=False, digits=6).select("query_id", "rank", "id", "score")
 
 
 def token_exclusivity(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries of a block; of 64 components each, about 10 MB.
+QUERY_BLOCK = 20_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -20,13 +23,20 @@ def normalized(v: Column) -> Column:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, id, score)``: the nearest vectors of each query by cosine, in double precision.
 
-    The queries are a stated set and are broadcast to every block of ``(id, embedding)``.
+    The queries are a stated set. They are broadcast to the vectors in blocks of at most
+    ``QUERY_BLOCK``, however many there are; every block keeps its own first ``k``.
     """
     v = vectors.select("id", normalized(F.col("embedding")).alias("v"))
     q = queries.select("query_id", normalized(F.col("embedding")).alias("q"))
-    s = v.join(F.broadcast(q), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return s.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        s = v.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
+        s = s.withColumn("rank", rank).filter(F.col("rank") <= k)
+        out = s if out is None else out.unionAll(s)
+    return out
 
 
 def fuse(primary: DataFrame, secondary: DataFrame, k: int, head: int = 2, c: float = 60.0, offset: int = 1) -> DataFrame:

@@ -245,6 +245,12 @@ ORACLE_SQL = {
         f AS (SELECT * FROM (VALUES (1, 'ring_15'), (2, 'widget_7'), (4, 'bolt_99'), (5, 'gear_1')) t(query_id, fragment)),
         h AS (SELECT query_id, fragment, id, count(*) OVER (PARTITION BY query_id) AS n FROM p JOIN f ON contains(name, fragment))
         SELECT query_id, fragment, id FROM h WHERE n <= 8""",
+    "mentions": """WITH m AS (SELECT conv_id, turn, 'See /chat/ ' || role || '.py and snake_case_name or CamelCaseName at /admin/users ' || text AS t FROM conversations)
+        SELECT conv_id, turn,
+            array_to_string(list_slice(list_transform(regexp_extract_all(t, '(?i)(?:^|[^\\pL\\pM\\pN_/])(/[a-z0-9][\\pL\\pM\\pN_\\-/\\[\\]]*)', 1), lambda r: CASE WHEN rtrim(r, '/') = '' THEN '/' ELSE rtrim(r, '/') END), 1, 3), '|') AS routes,
+            array_to_string(list_slice(regexp_extract_all(t, '(?i)[\\pL\\pM\\pN_\\-]+\\.(?:py|tsx?|jsx?|rs|vue|svelte|go|java|rb)\\b'), 1, 3), '|') AS files,
+            array_to_string(list_slice(list_filter(string_split_regex(t, '[^\\pL\\pM\\pN_]+'), lambda w: regexp_full_match(w, '[a-z]+(_[a-z0-9]+)+|[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+')), 1, 3), '|') AS symbols
+        FROM m""",
     "intent": f"""WITH c AS (SELECT lower(text || (['' || ' fix it', ' add this', ' why?', ' 삭제 수정', ''])[conv_id % 5 + 1]) AS t FROM conversations WHERE role = 'user'),
         s AS (SELECT {_COUNT.format(h=_HINTS["bug"])} AS b, {_COUNT.format(h=_HINTS["feature"])} AS f, {_COUNT.format(h=_HINTS["refactor"])} AS r, {_COUNT.format(h=_HINTS["question"])} AS q FROM c)
         SELECT CASE WHEN greatest(b, f, r) = 0 OR greatest(b, f, r) < q THEN 'question' WHEN b = greatest(b, f, r) THEN 'bug' WHEN f = greatest(b, f, r) THEN 'feature' ELSE 'refactor' END AS intent, count(*) AS n FROM s GROUP BY 1""",

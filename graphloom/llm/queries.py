@@ -61,6 +61,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(a, b) AS (
+            SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN n USING (vec_id)""",
     "op6_line_dedup": """
         WITH raw AS (
             SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,

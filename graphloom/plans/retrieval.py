@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import has_tokens, tokenize
 from graphloom.operators import evaluate, fuse, profile, rank
-from graphloom.plans.scratch import cut
+from graphloom.plans.scratch import cut, spread
 from graphloom.plans.tables import TOKENS_SQL, read, trade_graph
 
 TEXT_ONLY = {"text": 1}
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     """Documents as nodes named by their first two words, with what the priors read."""
-    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    docs, labels = spread(read(spark, d, "documents")), read(spark, d, "labels")
     kind = F.when(F.col("doc_id") % 3 == 0, "function").when(F.col("doc_id") % 3 == 1, "file").otherwise("feature")
     first = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 2), " ")
     n = docs.select(F.col("doc_id").alias("id"), kind.alias("kind"), first.alias("name"), F.concat("lang", F.lit("-store")).alias("repo"), F.col("source").alias("path"), F.substring("text", 1, 400).alias("summary"))
@@ -82,7 +82,7 @@ def metrics_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_files(spark: SparkSession, d: str) -> DataFrame:
     """How far ten hits cover the sources of the true documents."""
-    docs, q = read(spark, d, "documents"), _questions(spark, d)
+    docs, q = spread(read(spark, d, "documents")), _questions(spark, d)
     heads = q.select("query_id", F.substring("text", 1, 60).alias("head"))
     truth = docs.join(F.broadcast(heads), F.col("text").contains(F.col("head"))).groupBy("query_id").agg(F.collect_set("source").alias("files"))
     hits = bm25(docs.select(F.col("doc_id").alias("id"), "text"), q, 10).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
@@ -112,9 +112,10 @@ def token_exclusivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexicon_pmi(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
+    docs = spread(read(spark, d, "documents"))
     words = F.slice(tokenize("text"), 1, 20)
-    learned = profile.lexicon(docs.select(F.col("doc_id").alias("id"), words.alias("words"), F.array("lang", "source").alias("terms")), 5)
+    bags = cut(docs.select(F.col("doc_id").alias("id"), words.alias("words"), F.array("lang", "source").alias("terms")), "bags")
+    learned = profile.lexicon(bags, 5)
     return learned.select("word", "term", "n", F.round("pmi", 6).alias("pmi"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,3 +28,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if its files fill fewer tasks than there are cores.
+
+    A small table often is a single row group, which one task reads; work on its rows then
+    needs a shuffle to use more than one core. Larger tables stay as they are read. Only
+    footers are read to tell.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if filled < cores else df

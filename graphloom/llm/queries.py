@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat, langid, licenses, linededup, mixing, packing, simhash, sketch, toxicity, vectors
+from graphloom.plans.scratch import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

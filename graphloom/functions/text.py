@@ -47,8 +47,9 @@ def _col(c: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Lower-case words: camel case is split, anything but 0-9, a-z and Hangul syllables separates."""
-    spaced = F.regexp_replace(F.coalesce(_col(text), F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " ")
-    return F.filter(F.split(F.lower(spaced), "[^0-9a-z가-힣]+"), lambda t: t != "")
+    # the capital is looked for first and what stands before it second: most characters fail at once
+    spaced = F.regexp_replace(F.coalesce(_col(text), F.lit("")), "([A-Z])(?<=[a-z0-9][A-Z])", " $1")
+    return F.array_remove(F.split(F.lower(spaced), "[^0-9a-z가-힣]+"), "")
 
 
 def versions(text: Column | str) -> Column:

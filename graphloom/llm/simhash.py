@@ -10,11 +10,12 @@ therefore meets every such pair; the bits themselves are compared in the join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,138 +127,152 @@ def digest(near: DataFrame) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Documents of a given similarity. Three bits of 64 mean nearly equal texts; for lower
-# similarities a document gets a long fingerprint, and the embedding is used cell by cell.
+# Documents of a given similarity. Three bits of 64 mean nearly equal texts. For lower similarities
+# the shingle sets themselves are joined, exactly: of two sets that are alike enough, the first
+# shingles in any order common to all sets share at least one.
 
-#: Two-bit segments of a grid cell, by distinct texts; cells then hold few unrelated texts.
-CELL_SEGMENTS = ((1_000_000, 10), (None, 15))
-#: Neighbours before it, in the order of another part of the fingerprint, that a text is compared with in a cell.
-NEIGHBOURS = 3
+#: Texts, in expectation, whose shingles say which are common. They set an order, never a result.
+ORDER_TEXTS = 20_000
+#: Common shingles that are put last in the order, at most; the order of the others is their hash.
+ORDER_SHINGLES = 200_000
 
 
-def bit_share(similarity: float) -> float:
-    """Expected share of differing bits of two texts of like size whose sets of shingles have this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of 64-bit hashes of a text's shingles, sorted; words and shingles as in ``fingerprint_text``."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    size = min(words, len(w))
+    total = len(w) - size + 1
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    parts = []
+    for at in range(0, total, CHUNK):
+        n = min(CHUNK, total - at)
+        parts.append(np.unique(np.array([digest(join(s), 42) for s in zip(*(w[at + k : at + k + n] for k in range(size)))], np.uint64)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def plan_cells(texts: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Segments of a cell and 64-bit words of the fingerprint.
+def first_shingles(found: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles: rare before common, then by hash; so many that a set of this similarity has one of them among its own first."""
+    n = len(found)
+    keep = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        order = np.where(common[at] == found, rank[at], 0)
+        return found[np.lexsort((found, order))[:keep]]
+    return found[:keep]
 
-    A two-bit segment keeps its count where neither bit or both of unequal bits change. Of a
-    pair that shares a cell, four fifths are taken to come near each other in it.
-    """
-    segments = next(w for most, w in CELL_SEGMENTS if most is None or texts <= most)
-    p = bit_share(similarity)
-    meet = 0.8 * ((1 - p) ** 2 + p * p / 2) ** segments
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
-    return segments, -(-tables // (32 // segments))
 
+def _common_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts shares, sorted, and their counts."""
+    import pyarrow as pa
 
-def long_fingerprint(text: str | None, words: int, longs: int) -> tuple[int, np.ndarray]:
-    """A hash of the words of a text, and its SimHash of ``longs`` 64-bit words over distinct shingles."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    same = xxhash.xxh64_intdigest(b" ".join(w), 42)
-    if not w:
-        return same, np.zeros(longs, np.int64)
-    size = min(words, len(w))
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.unique(np.array([digest(join(s), 42) for s in zip(*(w[k : len(w) - size + 1 + k] for k in range(size)))], np.uint64))
-    odd = np.arange(1, 2 * longs, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    place = (np.arange(longs * 8, dtype=np.int64) * 256).reshape(longs, 1, 8)
-    seen = np.zeros(longs * 8 * 256, np.int64)
-    for at in range(0, len(h), 4096):
-        part = h[at : at + 4096]
-        mixed = odd[:, None] * part
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        cells = mixed.view(np.uint8).reshape(longs, len(part), 8) + place
-        seen += np.bincount(cells.ravel(), minlength=len(seen))
-    ones = seen.reshape(longs * 8, 256).astype(np.float32) @ BYTE_BITS
-    bits = ones.reshape(longs, 64) * 2 > len(h)
-    return same, np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
-
-
-#: The bits of each byte value.
-BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
-
-
-def _long_fingerprints(docs: DataFrame, words: int, longs: int, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), words).view(np.int64))], names=["h"])
+
+    some = docs.sample(fraction=min(1.0, ORDER_TEXTS / max(rows, 1)), seed=17)
+    counts = some.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    got = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _shingled(docs: DataFrame, words: int, similarity: float, rows: int) -> DataFrame:
+    """``(doc_id, text, same, n, firsts)``: a hash of the set of shingles, its size and its first shingles."""
     import pyarrow as pa
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
         for b in batches:
-            got = [long_fingerprint(x.as_py(), words, longs) for x in b.column(1)]
-            same = pa.array(np.array([s for s, _ in got], np.uint64).view(np.int64), pa.int64())
-            codes = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(got) + 1) * longs, pa.int32()), pa.array(np.concatenate([c for _, c in got]) if got else [], pa.int64())
-            )
-            yield pa.RecordBatch.from_arrays([b.column(0), same, codes], names=["doc_id", "same", "code"])
+            same, size, firsts = [], [], []
+            for x in b.column(1):
+                found = shingles(x.as_py(), words)
+                same.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                size.append(len(found))
+                firsts.append(first_shingles(found, similarity, common, rank).view(np.int64))
+            columns = [b.column(0), b.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "same", "n", "firsts"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, same bigint, n bigint, firsts array<bigint>"
+    return docs.mapInArrow(run, schema)
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, same bigint, code array<bigint>")
+
+def _alike(pairs: DataFrame, d: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(src, dst)`` of the pairs whose sets of shingles have the Jaccard similarity, computed from the texts."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([shingles(x.as_py(), words).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["same", "found"])
+
+    ends = pairs.select(F.col("src").alias("same")).unionAll(pairs.select(F.col("dst").alias("same"))).distinct()
+    one = d.join(ends, "same", "left_semi").groupBy("same").agg(F.any_value("text").alias("text"))
+    sets = materialize(one.mapInArrow(run, "same bigint, found array<bigint>"), "similar-sets")
+    a, b = sets.select(F.col("same").alias("src"), F.col("found").alias("fa")), sets.select(F.col("same").alias("dst"), F.col("found").alias("fb"))
+    both = F.size(F.array_intersect("fa", "fb"))
+    return pairs.join(a, "src").join(b, "dst").filter(both / (F.size("fa") + F.size("fb") - both) >= similarity).select("src", "dst")
 
 
 def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, component_id)``: documents link when their fingerprints put their Jaccard similarity at ``similarity`` or more.
+    """``(doc_id, component_id)``: documents link when the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
-    Texts with equal words are compared once. The long fingerprint's two-bit segments are
-    embedded as bit counts; texts in one grid cell of the embedding are sorted by another part
-    of the fingerprint, and near ones among ``NEIGHBOURS`` before each are compared over the
-    whole fingerprint, exactly. So candidates grow with the texts, not with the square of a
-    group, and a hot group costs no task more than its sorted rows. A single pair at the
-    threshold is met with probability ``recall``, closer ones and pairs in groups with more.
+    Exact at any size of input: every pair of that similarity is met or already linked by
+    others, and every link is decided on the whole sets. Equal sets are one text. Two sets
+    that are alike enough share one of their first shingles (about a fifth of a set for 0.8),
+    in an order that puts the common ones last, so a passage of many texts brings few of them
+    together. Texts are first compared with one text of each of their first shingles; then only
+    pairs that no link joins yet are met, each text outside the largest group of a shingle
+    with the others. So a group of near copies does not cost the square of its size. Pairs
+    that share too few of their first shingles to reach the similarity are not compared.
 
     Null and empty texts are alike. Every row returns one row; null ids are kept. Other
     columns are ignored. No rows: no rows.
     """
-    about = docs.count()
-    segments, longs = plan_cells(about, similarity, recall)
-    fields = 32 // segments
-    d = materialize(_long_fingerprints(docs, words, longs, id_col, text_col), "similar")
-    texts = materialize(d.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("code").alias("code")), "similar-texts")
-    mask = F.lit((1 << (2 * segments)) - 1).cast("long")
-    half = F.lit(0x5555555555555555 & ((1 << (2 * segments)) - 1)).cast("long")
-
-    def cell(code: Column, t: Column) -> Column:
-        value = F.shiftrightunsigned(F.get(code, F.floor(t / fields).cast("int")), 0)
-        out = value
-        for k in range(1, fields):
-            out = F.when(t % fields == k, F.shiftrightunsigned(value, 2 * segments * k)).otherwise(out)
-        out = out.bitwiseAND(mask)
-        return F.struct(
-            t.alias("table"),
-            (out - F.shiftright(out, 1).bitwiseAND(half)).alias("cell"),
-            F.get(code, (F.floor(t / fields) + 1).cast("int") % longs).alias("near"),
-        )
-
-    every = F.transform(F.sequence(F.lit(0), F.lit(longs * fields - 1)), lambda t: cell(F.col("code"), t))
-    first = lambda k: F.get(F.col("code"), F.lit(k))
-    cells = texts.select("same", first(0).alias("x"), first(longs // 2).alias("y"), F.explode(every).alias("c"))
-    order = Window.partitionBy("c.table", "c.cell").orderBy("c.near", "same")
-    mine = F.struct("same", "x", "y")
-    before = F.array(*(F.lag(mine, k + 1).over(order) for k in range(NEIGHBOURS)))
-    p = bit_share(similarity)
-    close = int(128 * p + 4 * (128 * p * (1 - p)) ** 0.5)
-    pairs = cells.select("same", "x", "y", before.alias("before")).select(
-        F.col("same").alias("src"),
-        F.explode(
-            F.filter(
-                "before",
-                lambda o: o.isNotNull()
-                & (F.bit_count(o["x"].bitwiseXOR(F.col("x"))) + F.bit_count(o["y"].bitwiseXOR(F.col("y"))) <= close),
-            )
-        ).alias("o"),
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = materialize(_shingled(docs, words, similarity, docs.count()), "similar")
+    texts = d.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"))
+    texts = materialize(texts, "similar-texts")
+    dealt = texts.select("same", "n", F.explode("firsts").alias("h"))
+    heads = dealt.groupBy("h").agg(F.min(F.struct("same", "n")).alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = materialize(dealt.join(heads.select("h", "head"), "h"), "similar-shared")
+
+    def pairs(a: Column, an: Column, b: Column, bn: Column) -> list[Column]:
+        return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.least(an, bn).alias("lo"), F.greatest(an, bn).alias("hi")]
+
+    # shingles of a set that are not among its first; of those, two sets share as many at most
+    rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
+    most = F.col("k") + rest(F.col("hi"))
+    sizes = F.col("lo") >= similarity * F.col("hi") - 1e-9
+    near = lambda p: (
+        p.filter(sizes).groupBy("src", "dst", "lo", "hi").agg(F.count(F.lit(1)).alias("k"))
+        .filter(most >= F.ceil(similarity / (1 + similarity) * (F.col("lo") + F.col("hi")) - 1e-9)).select("src", "dst")
+    )
+    stars = shared.filter(F.col("same") != F.col("head.same")).select(pairs(F.col("same"), F.col("n"), F.col("head.same"), F.col("head.n")))
+    links = materialize(_alike(materialize(near(stars), "similar-stars"), d, words, similarity), "similar-links")
+    roots = connected_components(links).withColumnRenamed("node", "same")
+    placed = shared.select("h", "same", "n").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    groups = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+    groups = groups.agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = materialize(placed.join(groups.select("h", "top"), "h"), "similar-mixed")
+    a, b = mixed.filter(F.col("root") != F.col("top")).alias("a"), mixed.alias("b")
+    meet = (
+        (F.col("a.h") == F.col("b.h"))
+        & (F.col("a.root") != F.col("b.root"))
+        & ((F.col("b.root") == F.col("b.top")) | (F.col("a.same") < F.col("b.same")))
+        & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
     )
-    pairs = pairs.select(F.least("src", "o.same").alias("src"), F.greatest("src", "o.same").alias("dst")).distinct()
-    a, b = texts.select(F.col("same").alias("src"), F.col("code").alias("ca")), texts.select(F.col("same").alias("dst"), F.col("code").alias("cb"))
-    bits = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    links = pairs.join(a, "src").join(b, "dst").filter(bits <= int(64 * longs * p)).select("src", "dst")
-    roots = connected_components(links)
-    near = texts.join(roots, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("root", "same").alias("root"))
-    least = near.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = near.join(least, "root").select("same", "component_id")
+    others = a.join(b, meet).select(pairs(F.col("a.same"), F.col("a.n"), F.col("b.same"), F.col("b.n")))
+    more = _alike(materialize(near(others), "similar-others"), d, words, similarity)
+    roots = connected_components(links.unionAll(more))
+    of = texts.join(roots, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("root", "same").alias("root"))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = of.join(least, "root").select("same", "component_id")
     return d.select("doc_id", "same").join(of, "same").select("doc_id", "component_id")

@@ -252,6 +252,40 @@ def test_similar_documents(spark, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def slow_similar(texts, similarity):
+    """Components of exact Jaccard similarity over five-word shingles by brute force, and all similarities but 0."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root, shares = list(range(len(texts))), []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            share = len(a & b) / max(1, len(a | b))
+            if share >= similarity:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+            shares += [share] if share else []
+    return root, shares
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for k in range(edits):
+        w[(2 * k + 1) * len(w) // (2 * edits)] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similar_documents_meets_every_pair(spark):
+    # a third of the texts share half of their words; closeness to a partner is the same in all
+    rng = random.Random(16)
+    passage, texts = words(rng, 60, 5000), []
+    for k in range(300):
+        base = f"{passage} {words(rng, 60, 5000)}" if k % 3 == 0 else words(rng, 120, 5000)
+        texts += [base, edited(rng, base, 2)]
+    expected, shares = slow_similar(texts, 0.8)
+    assert sum(0.8 <= s < 0.85 for s in shares) == 300
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 # 4 toxicity
 
 

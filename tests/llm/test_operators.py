@@ -286,6 +286,18 @@ def test_similar_documents_meets_every_pair(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_similar_documents_links_by_the_exact_similarity(spark):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(100):
+        base = words(rng, rng.randrange(125, 155), 5000)
+        texts += [base, edited(rng, base, 3)]
+    expected, shares = slow_similar(texts, 0.8)
+    assert sum(0.77 < s < 0.8 for s in shares) > 20 and sum(0.8 <= s < 0.83 for s in shares) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 # 4 toxicity
 
 

@@ -2,8 +2,8 @@
 
 Templates are indexed by word and position. A file's rarest license words (by document
 frequency over the whole corpus) are looked up; a template is a candidate where postings
-agree on the template's place in the file; it is accepted when enough of its rare words
-stand at their relative position there and all of its mandatory phrases occur in that
+agree on the template's place in the file; it is accepted when enough of its words, weighed
+by rarity, stand at their relative position there and all of its mandatory phrases occur in that
 stretch.
 """
 
@@ -91,11 +91,11 @@ TEMPLATES = (
 )
 #: A file's rarest license words that are looked up.
 LOOKUP_WORDS = 16
-#: Words that stand in more than this share of all documents are not indexed.
-COMMON_SHARE = 0.2
+#: Least weight of a template's word, however common it is.
+LEAST_IDF = 0.1
 #: Words by which a place may differ from its template's.
 SLACK = 3
-#: Share of a template's rare weight that must stand in place.
+#: Share of a template's weight that must stand in place.
 COVERAGE = 0.6
 
 
@@ -106,7 +106,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of rare template words."""
+    """Postings of template words, weighed by rarity."""
 
     words: tuple[tuple[bytes, ...], ...]
     idf: dict[bytes, float]
@@ -117,14 +117,12 @@ class Index:
     @classmethod
     def build(cls, df: dict[bytes, int], docs: int) -> Index:
         words = tuple(tuple(words_of(t)) for _, t, _ in TEMPLATES)
-        rare = {w for ws in words for w in ws if df.get(w, 0) <= COMMON_SHARE * max(docs, 1)}
-        idf = {w: math.log((docs + 2) / (df.get(w, 0) + 1)) for w in rare}
+        idf = {w: max(LEAST_IDF, math.log((docs + 2) / (df.get(w, 0) + 1))) for ws in words for w in ws}
         postings: dict[bytes, list] = defaultdict(list)
         for t, ws in enumerate(words):
             for p, w in enumerate(ws):
-                if w in rare:
-                    postings[w].append((t, p))
-        weight = tuple(sum(idf.get(w, 0.0) for w in ws) for ws in words)
+                postings[w].append((t, p))
+        weight = tuple(sum(idf[w] for w in ws) for ws in words)
         phrases = tuple(tuple(tuple(words_of(p)) for p in ps) for *_, ps in TEMPLATES)
         return cls(words, idf, {w: tuple(p) for w, p in postings.items()}, weight, phrases)
 
@@ -158,8 +156,7 @@ def scan(words: list[bytes], index: Index) -> list[tuple[str, int, int, float]]:
     found: dict[tuple[str, int], tuple[str, int, int, float]] = {}
     for (t, cell), hits in votes.items():
         both = hits | votes.get((t, cell + 1), set())
-        rare = sum(w in index.idf for w in index.words[t])
-        if len(both) < min(2, rare):
+        if len(both) < min(2, len(index.words[t])):
             continue
         lo = max(0, cell * (SLACK + 1) - SLACK)
         hi = (cell + 2) * (SLACK + 1) + len(index.words[t]) + SLACK
@@ -168,11 +165,11 @@ def scan(words: list[bytes], index: Index) -> list[tuple[str, int, int, float]]:
             near[w].append(i)
         base = cell * (SLACK + 1)
         got = sum(
-            index.idf.get(w, 0.0)
+            index.idf[w]
             for p, w in enumerate(index.words[t])
             if any(-SLACK <= i - p - base <= 2 * SLACK + 1 for i in near.get(w, ()))
         )
-        cover = got / index.weight[t] if index.weight[t] else 0.0
+        cover = got / index.weight[t]
         if cover < COVERAGE or not all(places(words, p, lo, hi) for p in index.phrases[t]):
             continue
         label = TEMPLATES[t][0]

@@ -457,6 +457,13 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_that_most_documents_hold(spark):
+    apache = "licensed under the Apache License, Version 2.0"
+    for texts in ([apache] * 3, [f"{apache} file w{i}" if i % 3 else f"w{i} notes" for i in range(60)]):
+        got = licenses.digest(licenses.scan_licenses(docs(spark, texts))).collect()
+        assert all(r.labels == ("apache,apache-2.0" if apache in texts[r.doc_id] else "") for r in got)
+
+
 # 8 chat
 
 

@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words.
 
-Templates are indexed by word and position. A file's rarest license words (by document
-frequency over the whole corpus) are looked up; a template is a candidate where postings
-agree on the template's place in the file; it is accepted when enough of its words, weighed
-by rarity, stand at their relative position there and all of its mandatory phrases occur in that
-stretch.
+Templates are indexed by word and position. Where all mandatory phrases of a template occur
+in a file, all of the file's words that the template has are looked up; the template is a
+candidate where postings agree on its place in the file; it is accepted when enough of its
+words, weighed by rarity (by document frequency over the whole corpus), stand at their
+relative position there and all of its mandatory phrases occur in that stretch.
 """
 
 from __future__ import annotations
@@ -89,8 +89,6 @@ TEMPLATES = (
     ),
     ("proprietary", "Copyright. All rights reserved", ("all rights reserved",)),
 )
-#: A file's rarest license words that are looked up.
-LOOKUP_WORDS = 16
 #: Least weight of a template's word, however common it is.
 LEAST_IDF = 0.1
 #: Words by which a place may differ from its template's.
@@ -143,21 +141,32 @@ def places(words: list[bytes], phrase: tuple[bytes, ...], lo: int = 0, hi: int |
 
 def scan(words: list[bytes], index: Index) -> list[tuple[str, int, int, float]]:
     """Accepted ``(label, start, end, coverage)`` of a file, best first."""
+    have = set(words)
+    live = {
+        t
+        for t, ps in enumerate(index.phrases)
+        if all(have.issuperset(p) for p in ps) and all(places(words, p) for p in ps)
+    }
+    if not live:
+        return []
     at = defaultdict(list)
     for i, w in enumerate(words):
         if w in index.idf:
             at[w].append(i)
-    rarest = sorted(at, key=lambda w: (-index.idf[w], w))[:LOOKUP_WORDS]
     votes: dict[tuple[int, int], set] = defaultdict(set)
-    for w in rarest:
+    for w, here in at.items():
         for t, p in index.postings[w]:
-            for i in at[w]:
-                votes[t, (i - p) // (SLACK + 1)].add(p)
+            if t in live:
+                for i in here:
+                    votes[t, (i - p) // (SLACK + 1)].add(p)
     found: dict[tuple[str, int], tuple[str, int, int, float]] = {}
     for (t, cell), hits in votes.items():
         both = hits | votes.get((t, cell + 1), set())
         if len(both) < min(2, len(index.words[t])):
             continue
+        around = both | votes.get((t, cell - 1), set())
+        if sum(index.idf[index.words[t][p]] for p in around) < (COVERAGE - 1e-9) * index.weight[t]:
+            continue
         lo = max(0, cell * (SLACK + 1) - SLACK)
         hi = (cell + 2) * (SLACK + 1) + len(index.words[t]) + SLACK
         near = defaultdict(list)

@@ -464,6 +464,17 @@ def test_licenses_that_most_documents_hold(spark):
         assert all(r.labels == ("apache,apache-2.0" if apache in texts[r.doc_id] else "") for r in got)
 
 
+def test_licenses_in_one_file_do_not_hide_each_other(spark):
+    rng = random.Random(18)
+    mit, apache = licenses.TEMPLATES[1][1], "licensed under the Apache License, Version 2.0"
+    common = "this file is licensed under a license of the version in use"
+    texts = [f"{mit} {words(rng, 50)} {apache}", " ".join(t for _, t, _ in licenses.TEMPLATES), *(f"{words(rng, 50)} {common}" for _ in range(100))]
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan_licenses(docs(spark, texts))).collect()}
+    assert got[0] == "apache,apache-2.0,mit"
+    assert set(got[1].split(",")) == {label for label, *_ in licenses.TEMPLATES} | {label for _, label in licenses.BASE_PHRASES}
+    assert not any(got[i] for i in range(2, len(texts)))
+
+
 # 8 chat
 
 

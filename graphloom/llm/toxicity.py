@@ -4,9 +4,9 @@ Logistic regression on the presence of telling words. For labelled texts that na
 of people, the group's term is swapped for another of its family and for none, and the
 change of the score's logit is penalised, so a mention of a group in itself moves no score.
 
-Words are chosen by their log-odds between toxic and other labelled texts: where chance would
-not explain them, those with the highest lower confidence bound, so a word that stands in
-toxic texts alone goes before a commoner one that a group of copies shares.
+Words are chosen by their log-odds between toxic and other labelled texts: all those that chance
+would not explain. The fit keeps texts and counterfactuals as lists of words, so its memory grows
+with the words of the sample.
 Labels of a bounded sample are learned from: ``per_label`` rows a label in expectation.
 """
 
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -43,19 +45,17 @@ IDENTITY_TERMS = (
     ("old", "young"),
 )
 SWAP = {w: f[(i + 1) % len(f)] for f in IDENTITY_TERMS for i, w in enumerate(f)}
-#: A word must stand in so many toxic texts; a model has so many at most.
-LEAST_TEXTS, MODEL_WORDS = 3, 300
+#: A word must stand in so many toxic texts.
+LEAST_TEXTS = 3
 #: Words that chance alone would choose, in expectation; sets the z value that is asked for.
 CHANCE_WORDS = 0.5
-#: Standard errors by which the bound that ranks words lies below their log-odds.
-BOUND = 2.0
 
 
 def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str]) -> set[str]:
+def swapped(words: Iterable[str]) -> set[str]:
     """The words with every identity term replaced by the next of its family."""
     return {SWAP.get(w, w) for w in words}
 
@@ -72,13 +72,54 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+class Sparse:
+    """A matrix of which each row is a list of ``(column, value)``; its products with vectors."""
+
+    def __init__(self, rows: Iterable[list[tuple[int, float]]], columns: int):
+        at, column, value = array("q"), array("q"), array("d")
+        n = 0
+        for n, row in enumerate(rows, 1):
+            for c, v in row:
+                at.append(n - 1)
+                column.append(c)
+                value.append(v)
+        self.shape = n, columns
+        self.at, self.column, self.value = np.array(at, np.int64), np.array(column, np.int64), np.array(value)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * v[self.column], self.shape[0])
+
+    def back(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """The transposed matrix, its values raised to ``power``, times a vector."""
+        return np.bincount(self.column, self.value**power * u[self.at], self.shape[1])
+
+
+def solve(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Conjugate gradients for a positive definite matrix, scaled by its diagonal."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / diagonal
+    p, rz = z.copy(), r @ z
+    enough = 1e-20 * rz
+    for _ in range(rounds):
+        if rz <= enough:
+            break
+        q = times(p)
+        a = rz / (p @ q)
+        x += a * p
+        r -= a * q
+        z = r / diagonal
+        p, rz = z + (r @ z) / rz * p, r @ z
+    return x
+
+
 def fit(
-    rows: list[tuple[set[str], int, float]], words: list[str], penalty: float = 10.0, l2: float = 0.02, rounds: int = 30
+    rows: list[tuple[Iterable[str], int, float]], words: list[str], penalty: float = 10.0, l2: float = 0.02, rounds: int = 30
 ) -> Model:
     """Newton's method on ``(words, label, weight)`` rows.
 
     Minimises the log-loss plus ``l2`` |w|^2 / 2 plus, for each row that names a group and both
-    its counterfactuals, ``penalty`` times half the squared change of its logit.
+    its counterfactuals, ``penalty`` times half the squared change of its logit. Matrices are
+    never formed: each step is found by conjugate gradients over the rows' words.
     """
     vocabulary = sorted({*words, *(w for ws, *_ in rows for w in ws if w in SWAP)})
     vocabulary = sorted({*vocabulary, *(SWAP[w] for w in vocabulary if w in SWAP)})
@@ -87,31 +128,27 @@ def fit(
         mean = (sum(y * c for _, y, c in rows) + 0.5) / (sum(c for *_, c in rows) + 10.0)
         return Model({}, math.log(mean / (1 - mean)))
 
-    def vector(ws: set[str]) -> np.ndarray:
-        x = np.zeros(len(vocabulary) + 1)
-        x[[place[w] for w in ws if w in place]] = 1
-        x[-1] = 1
-        return x
-
     # equal rows are one row with their weights together
-    merged: dict[tuple, list] = {}
+    merged: dict[tuple, float] = defaultdict(float)
     for ws, y, c in rows:
-        known = frozenset(w for w in ws if w in place)
-        merged.setdefault((known, y), [known, y, 0.0])[2] += c
-    rows = [tuple(r) for _, r in sorted(merged.items(), key=lambda kv: (sorted(kv[0][0]), kv[0][1]))]
-    x = np.stack([vector(ws) for ws, *_ in rows])
+        merged[tuple(sorted(w for w in ws if w in place)), y] += c
+    rows = [(ws, y, c) for (ws, y), c in sorted(merged.items())]
+    size = len(vocabulary) + 1
+    x = Sparse(([*((place[w], 1.0) for w in ws), (size - 1, 1.0)] for ws, *_ in rows), size)
     y = np.array([y for _, y, _ in rows], float)
     c = np.array([c for *_, c in rows])
-    named = [(ws, other, n) for ws, _, n in rows if swapped(ws) != ws for other in (swapped(ws), ws - SWAP.keys())]
-    diff = np.array([vector(ws) - vector(other) for ws, other, _ in named]).reshape(-1, len(vocabulary) + 1)
-    pull = penalty * (diff.T * np.array([n for *_, n in named])) @ diff
-    pull[np.diag_indices_from(pull)] += np.append(np.full(len(vocabulary), l2), 1e-6)
-    w = np.zeros(x.shape[1])
+    named = [(set(ws), other, n) for ws, _, n in rows if swapped(ws) != set(ws) for other in (swapped(ws), set(ws) - SWAP.keys())]
+    diff = Sparse(([*((place[w], 1.0) for w in ws - other), *((place[w], -1.0) for w in other - ws)] for ws, other, _ in named), size)
+    pulled = penalty * np.array([n for *_, n in named], float)
+    ridge = np.append(np.full(len(vocabulary), l2), 1e-6)
+    pull = lambda v: diff.back(pulled * diff.times(v)) + ridge * v
+    fixed = diff.back(pulled, 2) + ridge
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (c * (p - y)) + pull @ w
-        hess = (x.T * (c * np.maximum(p * (1 - p), 1e-6))) @ x + pull
-        step = np.linalg.solve(hess + 1e-9 * np.eye(len(w)), grad)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        grad = x.back(c * (p - y)) + pull(w)
+        curve = c * np.maximum(p * (1 - p), 1e-6)
+        step = solve(lambda v, curve=curve: x.back(curve * x.times(v)) + pull(v), x.back(curve, 2) + fixed, grad)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
@@ -164,15 +201,25 @@ def train(
     a, b = F.col("a"), F.col("n") - F.col("a")
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (other - b + 0.5))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (other - b + 0.5))
-    each = materialize(each.filter(a >= LEAST_TEXTS).select("word", odds.alias("odds"), error.alias("error")), "toxic-words")
+    each = materialize(each.filter(a >= LEAST_TEXTS).select("word", (odds / error).alias("z")), "toxic-words")
     least = NormalDist().inv_cdf(1 - min(0.5, CHANCE_WORDS / max(1, each.count())))
-    telling = each.filter(F.col("odds") / F.col("error") >= least).withColumn("low", F.col("odds") - BOUND * F.col("error"))
-    words = [r[0] for r in telling.orderBy(F.desc("low"), "word").select("word").limit(MODEL_WORDS).collect()]
-    wanted = F.array(*[F.lit(w) for w in sorted({*words, *SWAP})])
-    sample = rows.select("y", F.array_intersect("words", wanted).alias("w")).groupBy("y", F.array_sort("w").alias("w")).count().collect()
+    words = sorted(r[0] for r in each.filter(F.col("z") >= least).select("word").collect())
+    names = sorted({*words, *SWAP})
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+
+    def known_words(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            found = [sorted(shared.value[w] for w in ws.as_py() if w in shared.value) for ws in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "w"])
+
+    # places in the list of names, a few bytes each
+    sample = rows.select("y", "words").mapInArrow(known_words, "y int, w array<int>").groupBy("y", "w").agg(F.count(F.lit(1)).alias("n")).toArrow()
     # both labels weigh the same together, so 0.5 is as far from either
     weight = {1: min(1.0, other / toxic), 0: min(1.0, toxic / other)}
-    return fit([(set(r["w"]), r["y"], r["count"] * weight[r["y"]]) for r in sample], words, penalty)
+    texts = zip(sample["w"], sample["y"].to_pylist(), sample["n"].to_pylist(), strict=True)
+    return fit([(tuple(names[i] for i in w.as_py()), y, n * weight[y]) for w, y, n in texts], words, penalty)
 
 
 def score_column(spark: object, model: Model, text: Column) -> Column:

@@ -333,6 +333,37 @@ def test_toxicity(spark, empty):
     assert none.score("scum") < 0.5
 
 
+def test_every_telling_word_is_learned(spark):
+    rng = random.Random(19)
+    bad = ["".join(chr(97 + k // 26**p % 26) for p in range(3)) + "bad" for k in range(400)]
+    plain = ["".join(chr(97 + k // 26**p % 26) for p in range(2)) + "plain" for k in range(20)]
+    texts = [" ".join(rng.sample(plain, 3) + (rng.sample(bad, 16) if i % 2 else [])) for i in range(5000)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), lab)
+    assert sum(model.weights.get(w, 0) > 0 for w in bad) >= 395
+    last = sorted(bad, key=lambda w: model.weights.get(w, 0))[:100]
+    assert np.mean([model.score(" ".join([*plain[:3], *rng.sample(last, 16)])) >= 0.5 for _ in range(20)]) > 0.9
+
+
+def test_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(20)
+    words = [f"v{k}" for k in range(12)] + ["muslim", "men"]
+    rows = [([w for w in words if rng.random() < 0.3], int(rng.random() < 0.4), float(rng.integers(1, 4))) for _ in range(200)]
+    model = toxicity.fit(rows, words[:12], penalty=5.0, l2=0.5)
+    names = sorted({*words, *(toxicity.SWAP[w] for w in words if w in toxicity.SWAP)})
+    vector = lambda ws: np.array([*(w in ws for w in names), True], float)
+    w = np.array([*(model.weights.get(n, 0.0) for n in names), model.bias])
+    grad = np.append(np.full(len(names), 0.5), 1e-6) * w
+    for ws, y, c in rows:
+        x = vector(ws)
+        grad += c * (1 / (1 + np.exp(-x @ w)) - y) * x
+        if toxicity.swapped(ws) != set(ws):
+            for other in (toxicity.swapped(ws), set(ws) - toxicity.SWAP.keys()):
+                d = x - vector(other)
+                grad += 5.0 * c * (d @ w) * d
+    assert np.abs(grad).max() < 1e-5
+
+
 def test_held_out_labels_are_not_learned(spark):
     texts = [f"w{i % 7} nasty" if i % 2 else f"w{i % 7} nice" for i in range(200)]
     d = docs(spark, texts)

@@ -404,6 +404,82 @@ def test_vectors(spark):
     assert vectors.near_vectors(d.limit(0)).count() == 0
 
 
+def slow_links(vecs, cosine):
+    """Links and the smallest index reachable, by all pairs of vectors of one length."""
+    n = len(vecs)
+    links, root = [0] * n, list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            u, v = np.array(vecs[i]), np.array(vecs[j])
+            if len(u) == len(v) and u @ v / np.sqrt((u @ u) * (v @ v)) >= cosine:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return links, [find(i) for i in range(n)]
+
+
+def near(rng, v, cosine):
+    """A vector at an exact angle to ``v``."""
+    v = np.array(v) / np.linalg.norm(v)
+    w = rng.standard_normal(len(v))
+    w -= w @ v * v
+    return cosine * v + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w)
+
+
+def test_vectors_of_mixed_lengths(spark):
+    rng = np.random.default_rng(3)
+    vecs = []
+    for dim in (32, 64, 126, 200):
+        for _ in range(15):
+            base = rng.standard_normal(dim)
+            vecs += [base, near(rng, base, 0.96)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    links, root = slow_links(vecs, 0.9)
+    got = {r.vec_id: r for r in vectors.near_vectors(d).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(vecs))] == list(zip(links, root, strict=True))
+
+
+@pytest.mark.parametrize("spread", [0.97, 0.93, 0.955])
+def test_crowded_vectors(spark, spread, monkeypatch):
+    """A class whose pairs are all linked, none for certain, or some: counted as by all pairs, with copies and strangers."""
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(32)
+    vecs = [near(rng, centre, 1 - (1 - spread) * rng.random()) for _ in range(150)]
+    vecs += [rng.standard_normal(32) for _ in range(60)] + vecs[:25]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    links, root = slow_links(vecs, 0.9)
+    got = {r.vec_id: r for r in vectors.near_vectors(d, recall=0.99999).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(vecs))] == list(zip(links, root, strict=True))
+
+
+def test_share_of_links_found_at_the_threshold(spark):
+    """With the parameters of the query, of pairs at 0.9 to 0.91."""
+    rng = np.random.default_rng(6)
+    vecs = []
+    for _ in range(1500):
+        base = rng.standard_normal(64)
+        vecs += [base, near(rng, base, 0.9 + 0.01 * rng.random())]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(d).filter("n_links > 0").count() / 2
+    assert got / 1500 > 0.98
+
+
+def test_vectors_that_repeat_ids(spark):
+    one, other = [1.0, 2.0, 3.0], [-1.0, 0.5, 0.0]
+    rows = [(1, one), (1, one), (1, other), (None, one), (None, None), (2, [-0.0, 1.0]), (3, [0.0, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([tuple(r) for r in got], key=key) == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 2, True), (3, 1, 2, False), (None, 0, None, False), (None, 2, 1, False)]
+
+
 def test_estimate_is_close_to_the_product():
     rng = np.random.default_rng(9)
     a = rng.standard_normal((400, 64))
@@ -411,7 +487,7 @@ def test_estimate_is_close_to_the_product():
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     a, b = unit(a), unit(b)
     q = a @ vectors.rotations(64, 64, 11)
-    e = vectors.encode(b, 8, 8, 11)
+    e = vectors.encode(b, 8, 8, 11, vectors.words_of(64))
     signs = (b @ vectors.rotations(64, 64, 11) > 0) * 2 - 1
     estimate = (q * signs).sum(1) / 8 / e["factor"]
     assert abs(np.mean(estimate - (a * b).sum(1))) < 0.02

@@ -54,6 +54,26 @@ def drop_scratch(*tables: DataFrame) -> None:
             hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back_memory() -> None:
+    """Return the freed memory of a Python worker, which outlives its tasks, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as a column of ``df`` is called so."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def text_of(col: Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(col, F.lit(""))

@@ -13,6 +13,7 @@ repeats its own tasks only.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import give_back_memory
+
 #: Tokens gathered before a block is packed; 4 bytes each.
 BLOCK_TOKENS = 3_000_000
 #: Chunks tokenized as one text.
@@ -249,6 +252,8 @@ _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 def worker_tokenizer(spec: str) -> ChunkTokenizer:
     """One tokenizer a Python worker, kept across tasks."""
     if spec not in _TOKENIZERS:
+        # the executor's other tasks use the other cores; threads would keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _TOKENIZERS.clear()
         _TOKENIZERS[spec] = ChunkTokenizer(spec)
     return _TOKENIZERS[spec]
@@ -264,6 +269,7 @@ def pack(
     depth: int = 3,
     cache_chunks: int = 1_000_000,
     batch_chars: int = 8_000_000,
+    keep: bool = True,
 ) -> DataFrame:
     """One row per piece: ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_tokens)``.
 
@@ -278,6 +284,7 @@ def pack(
 
     A worker remembers the ids of ``cache_chunks`` chunks (about 200 bytes each) and splits
     ``batch_chars`` characters at once (about 10 bytes each); fewer cost time, not results.
+    With ``keep`` false it forgets the tokenizer and the chunks when a task ends.
     The tokenizer file is read on the driver and sent to the workers as it is (a few MB,
     whatever the input).
     """
@@ -304,8 +311,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer = worker_tokenizer(spec.value)
-        tokenizer.most = cache_chunks
+        worker_tokenizer(spec.value).most = cache_chunks
         ids_type = None
         number = count(TaskContext.get().partitionId() << 36)
         ids: list = []
@@ -342,7 +348,7 @@ def pack(
 
         def tokenize() -> None:
             nonlocal held
-            data.extend(x + ending for x in tokenizer(waiting))
+            data.extend(x + ending for x in worker_tokenizer(spec.value)(waiting))
             held += sum(len(x) // 4 for x in data[-len(waiting) :])
             waiting.clear()
 
@@ -365,6 +371,11 @@ def pack(
                 tokenize()
         if data:
             yield from flush()
+        if not keep:
+            ids.clear()
+            data.clear()
+            _TOKENIZERS.clear()
+            give_back_memory()
 
     return d.mapInArrow(run, schema)
 

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import connected_components, materialize
+from graphloom.llm.common import connected_components, drop_scratch, give_back_memory, materialize
 
 #: Shingles hashed and counted at once.
 CHUNK = 1 << 16
@@ -135,6 +135,13 @@ def digest(near: DataFrame) -> DataFrame:
 ORDER_TEXTS = 20_000
 #: Common shingles that are put last in the order, at most; the order of the others is their hash.
 ORDER_SHINGLES = 200_000
+#: Texts of a shingle outside its largest group from which they are a crowd; the texts of each that
+#: all others meet, and how often. They set how links are found, never which.
+CROWD, CROWD_HEADS, CROWD_ROUNDS = 16, 4, 2
+#: Longs of a set's bitmap.
+BITMAP = 8
+#: Numbers of removed rows (8 bytes each) up to which they are broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -163,6 +170,15 @@ def first_shingles(found: np.ndarray, similarity: float, common: np.ndarray, ran
     return found[:keep]
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall on each of 64 ``BITMAP`` places, as longs.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits.
+    """
+    odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _common_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts shares, sorted, and their counts."""
     import pyarrow as pa
@@ -181,42 +197,123 @@ def _common_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray
 
 
 def _shingled(docs: DataFrame, words: int, similarity: float, rows: int) -> DataFrame:
-    """``(doc_id, text, same, n, firsts)``: a hash of the set of shingles, its size and its first shingles."""
+    """``docs(doc_id, text, rest)`` with ``(h1, h2, n, firsts, bits, row)``: two hashes of the set of shingles, its size, first shingles and bitmap, a number of the row."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words, rows))
+    own = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*docs.schema, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         for b in batches:
-            same, size, firsts = [], [], []
+            h1, h2, size, firsts, bits = [], [], [], [], []
             for x in b.column(1):
                 found = shingles(x.as_py(), words)
-                same.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                h1.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                h2.append(xxhash.xxh64_intdigest(found.tobytes(), 43))
                 size.append(len(found))
                 firsts.append(first_shingles(found, similarity, common, rank).view(np.int64))
-            columns = [b.column(0), b.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "same", "n", "firsts"])
+                bits.append(bitmap(found))
+            signed = lambda h: pa.array(np.array(h, np.uint64).view(np.int64))
+            columns = [*b.columns, signed(h1), signed(h2), pa.array(size, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back_memory()
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, same bigint, n bigint, firsts array<bigint>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _alike(pairs: DataFrame, d: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(src, dst)`` of the pairs whose sets of shingles have the Jaccard similarity, computed from the texts."""
+    """``(src, dst)`` of the pairs of rows whose sets of shingles have the Jaccard similarity, computed from the texts."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([shingles(x.as_py(), words).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["same", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=["row", "found"])
 
-    ends = pairs.select(F.col("src").alias("same")).unionAll(pairs.select(F.col("dst").alias("same"))).distinct()
-    one = d.join(ends, "same", "left_semi").groupBy("same").agg(F.any_value("text").alias("text"))
-    sets = materialize(one.mapInArrow(run, "same bigint, found array<bigint>"), "similar-sets")
-    a, b = sets.select(F.col("same").alias("src"), F.col("found").alias("fa")), sets.select(F.col("same").alias("dst"), F.col("found").alias("fb"))
+    ends = pairs.select(F.col("src").alias("row")).unionAll(pairs.select(F.col("dst").alias("row"))).distinct()
+    sets = materialize(d.select("row", "text").join(ends, "row", "left_semi").mapInArrow(run, "row bigint, found array<bigint>"), "similar-sets")
+    a, b = sets.select(F.col("row").alias("src"), F.col("found").alias("fa")), sets.select(F.col("row").alias("dst"), F.col("found").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
-    return pairs.join(a, "src").join(b, "dst").filter(both / (F.size("fa") + F.size("fb") - both) >= similarity).select("src", "dst")
+    out = pairs.join(a, "src").join(b, "dst").filter(both / (F.size("fa") + F.size("fb") - both) >= similarity).select("src", "dst")
+    out = materialize(out, "similar-links")
+    drop_scratch(pairs, sets)
+    return out
+
+
+def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(h1, h2, root)`` of every set of shingles in ``d``: the smallest row that links lead to."""
+    texts = d.groupBy("h1", "h2").agg(
+        F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"), F.any_value("bits").alias("bits")
+    )
+    texts = materialize(texts, "similar-texts")
+    dealt = texts.select(F.explode("firsts").alias("h"), "row", "n")
+    # most shingles are one text's alone; only the others are dealt out with their texts
+    often = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = materialize(dealt.join(often, "h", "left_semi"), "similar-shared")
+    heads = shared.groupBy("h").agg(F.min(F.struct("row", "n")).alias("head"))
+
+    def pairs(a: Column, an: Column, b: Column, bn: Column) -> list[Column]:
+        return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.least(an, bn).alias("lo"), F.greatest(an, bn).alias("hi")]
+
+    # shingles of a set that are not among its first; of those, two sets share as many at most
+    rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
+    most = F.col("k") + rest(F.col("hi"))
+    sizes = F.col("lo") >= similarity * F.col("hi") - 1e-9
+    near = lambda p: (
+        p.filter(sizes).groupBy("src", "dst", "lo", "hi").agg(F.count(F.lit(1)).alias("k"))
+        .filter(most >= F.ceil(similarity / (1 + similarity) * (F.col("lo") + F.col("hi")) - 1e-9)).select("src", "dst")
+    )
+    stars = shared.join(heads, "h").filter(F.col("row") != F.col("head.row")).select(pairs(F.col("row"), F.col("n"), F.col("head.row"), F.col("head.n")))
+    links = _alike(materialize(near(stars), "similar-stars"), d, words, similarity)
+
+    def mixed_groups() -> DataFrame:
+        """Rows of the shingles whose texts no links join yet, with the root of most of them."""
+        roots = connected_components(links).withColumnRenamed("node", "row")
+        placed = materialize(shared.join(roots, "row", "left").select("h", "row", "n", F.coalesce("root", "row").alias("root")), "similar-placed")
+        each = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+        each = each.agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.sum("k").alias("k"), F.max("k").alias("most"), F.count(F.lit(1)).alias("roots"))
+        out = materialize(placed.join(each.filter("roots > 1").select("h", "top", (F.col("k") - F.col("most")).alias("outside")), "h"), "similar-mixed")
+        drop_scratch(placed)
+        return out
+
+    # a crowd of near copies that one text does not join: its texts meet a few others, anew each time
+    mixed = mixed_groups()
+    for i in range(CROWD_ROUNDS):
+        crowd = mixed.filter(F.col("outside") >= CROWD).select("h", "row", "n", "root")
+        place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64(F.lit(i), "row")))
+        some = crowd.withColumn("place", place).filter(F.col("place") <= CROWD_HEADS).select("h", F.col("row").alias("r"), F.col("n").alias("m"), F.col("root").alias("s"))
+        met = crowd.join(some, "h").filter((F.col("root") != F.col("s")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
+        met = materialize(met.select(F.least("row", "r").alias("src"), F.greatest("row", "r").alias("dst")).distinct(), "similar-met")
+        if met.isEmpty():
+            break
+        links = links.unionAll(_alike(met, d, words, similarity))
+        drop_scratch(mixed)
+        mixed = mixed_groups()
+    drop_scratch(shared)
+    def meet(m: DataFrame, more: Column) -> DataFrame:
+        a, b = m.filter(F.col("root") != F.col("top")).alias("a"), m.alias("b")
+        on = (
+            (F.col("a.h") == F.col("b.h"))
+            & (F.col("a.root") != F.col("b.root"))
+            & ((F.col("b.root") == F.col("b.top")) | (F.col("a.row") < F.col("b.row")))
+            & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
+        )
+        return a.join(b, on & more).select(pairs(F.col("a.row"), F.col("a.n"), F.col("b.row"), F.col("b.n")))
+
+    # in a crowd, only pairs whose bitmaps leave the similarity possible
+    differ = F.lit(0)
+    for i in range(BITMAP):
+        differ = differ + F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i))))
+    both = F.col("a.n") + F.col("b.n")
+    possible = differ <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
+    crowd = mixed.filter(F.col("outside") >= CROWD).join(texts.select("row", "bits"), "row")
+    others = meet(mixed.filter(F.col("outside") < CROWD), F.lit(True)).unionAll(meet(crowd, possible))
+    others = materialize(near(others), "similar-others")
+    drop_scratch(mixed)
+    roots = connected_components(links.unionAll(_alike(others, d, words, similarity)))
+    return texts.join(roots, F.col("row") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "row").alias("root"))
 
 
 def similar_documents(
@@ -228,51 +325,39 @@ def similar_documents(
     others, and every link is decided on the whole sets. Equal sets are one text. Two sets
     that are alike enough share one of their first shingles (about a fifth of a set for 0.8),
     in an order that puts the common ones last, so a passage of many texts brings few of them
-    together. Texts are first compared with one text of each of their first shingles; then only
-    pairs that no link joins yet are met, each text outside the largest group of a shingle
-    with the others. So a group of near copies does not cost the square of its size. Pairs
-    that share too few of their first shingles to reach the similarity are not compared.
+    together. Texts are first compared with one text of each of their first shingles, in crowds
+    with a few more; then only pairs that no link joins yet are met, each text outside the largest
+    group of a shingle with the others. So a group of near copies does not cost the square of its
+    size. Pairs that share too few of their first shingles to reach the similarity are not compared.
 
     Null and empty texts are alike. Every row returns one row; null ids are kept. Other
     columns are ignored. No rows: no rows.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     d = materialize(_shingled(docs, words, similarity, docs.count()), "similar")
-    texts = d.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"))
-    texts = materialize(texts, "similar-texts")
-    dealt = texts.select("same", "n", F.explode("firsts").alias("h"))
-    heads = dealt.groupBy("h").agg(F.min(F.struct("same", "n")).alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = materialize(dealt.join(heads.select("h", "head"), "h"), "similar-shared")
+    of = d.select("doc_id", "h1", "h2").join(_roots(d, words, similarity), ["h1", "h2"])
+    of = materialize(of.select("doc_id", "root"), "similar-of")
+    drop_scratch(d)
+    return of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
-    def pairs(a: Column, an: Column, b: Column, bn: Column) -> list[Column]:
-        return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.least(an, bn).alias("lo"), F.greatest(an, bn).alias("hi")]
 
-    # shingles of a set that are not among its first; of those, two sets share as many at most
-    rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
-    most = F.col("k") + rest(F.col("hi"))
-    sizes = F.col("lo") >= similarity * F.col("hi") - 1e-9
-    near = lambda p: (
-        p.filter(sizes).groupBy("src", "dst", "lo", "hi").agg(F.count(F.lit(1)).alias("k"))
-        .filter(most >= F.ceil(similarity / (1 + similarity) * (F.col("lo") + F.col("hi")) - 1e-9)).select("src", "dst")
-    )
-    stars = shared.filter(F.col("same") != F.col("head.same")).select(pairs(F.col("same"), F.col("n"), F.col("head.same"), F.col("head.n")))
-    links = materialize(_alike(materialize(near(stars), "similar-stars"), d, words, similarity), "similar-links")
-    roots = connected_components(links).withColumnRenamed("node", "same")
-    placed = shared.select("h", "same", "n").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
-    groups = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
-    groups = groups.agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = materialize(placed.join(groups.select("h", "top"), "h"), "similar-mixed")
-    a, b = mixed.filter(F.col("root") != F.col("top")).alias("a"), mixed.alias("b")
-    meet = (
-        (F.col("a.h") == F.col("b.h"))
-        & (F.col("a.root") != F.col("b.root"))
-        & ((F.col("b.root") == F.col("b.top")) | (F.col("a.same") < F.col("b.same")))
-        & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
-    )
-    others = a.join(b, meet).select(pairs(F.col("a.same"), F.col("a.n"), F.col("b.same"), F.col("b.n")))
-    more = _alike(materialize(near(others), "similar-others"), d, words, similarity)
-    roots = connected_components(links.unionAll(more))
-    of = texts.join(roots, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("root", "same").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select("same", "component_id")
-    return d.select("doc_id", "same").join(of, "same").select("doc_id", "component_id")
+def drop_similar(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_documents``, all its columns as they are.
+
+    The row with the smallest id stays; a row with an id goes before one without, and of rows that
+    share the id one stays.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    others = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(True)
+    docs_ = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), others.alias("rest"))
+    d = materialize(_shingled(docs_, words, similarity, docs.count()), "similar")
+    of = d.select("doc_id", "row", "h1", "h2").join(_roots(d, words, similarity), ["h1", "h2"])
+    of = materialize(of.select("doc_id", "row", "root"), "similar-of")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    several = of.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = materialize(of.join(several, "root").filter(F.col("row") != F.col("first.row")).select("row"), "similar-gone")
+    out = d.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left_anti")
+    kept = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return out.select(*(kept.get(c, F.col("rest").getField(c) if rest else None).alias(c) for c in docs.columns))

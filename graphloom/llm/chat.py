@@ -1,8 +1,9 @@
 """Chat formatting as relational expressions.
 
-Turn structs are collected per conversation and sorted; adjacent turns of one role are
-merged by an array aggregation; the text is concatenated. Nothing runs outside Spark
-expressions.
+Turn structs are collected per conversation and sorted; the turns of a run of one role are
+merged by an array aggregation; the runs are concatenated. Where a text stands in the output
+is a running sum over the sorted turns. Nothing runs outside Spark expressions, and a
+conversation costs time in proportion to its length.
 
 Template, one block per run of turns of one role::
 
@@ -15,7 +16,7 @@ only where the template wrote it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_of
@@ -49,8 +50,9 @@ def format_chats(
 ) -> DataFrame:
     """One row per conversation: ``(conv_id, formatted, loss_spans)``.
 
-    ``loss_spans`` lists ``(start, length)``, in code points of ``formatted`` from 0, one
-    span for each text of ``loss_role`` (the texts alone: no marks, no separators).
+    ``loss_spans`` lists ``(start, length, byte_start, byte_length)``, in code points and in bytes
+    of ``formatted`` from 0, one span for each text of ``loss_role`` (the texts alone: no marks,
+    no separators).
 
     Null text or role: empty. Turns are ordered by turn, ties by role then text; null turns
     come first. Repeated rows stay, each as its own turn. Rows with a null conversation id
@@ -59,54 +61,43 @@ def format_chats(
     A conversation becomes one row, so its size bounds the memory of a task; different
     conversations never share one.
     """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(
-            F.col(turn_col).alias("turn"),
-            text_of(F.col(role_col)).alias("role"),
-            text_of(F.col(text_col)).alias("text"),
-        ).alias("t"),
-    )
-    t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # each turn's opening depends on the turn before it only: a merge of adjacent equal roles
-    prev = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.col("ts"), lambda x: x["role"]))
-    t = t.withColumn("prev", prev)
-    pieces = F.transform(
-        F.arrays_zip("ts", F.slice("prev", 1, F.size("ts")).alias("before")),
-        lambda z: F.struct(
-            F.when(z["before"].isNull(), F.concat(F.lit(START), escape_role(z["ts"]["role"]), F.lit("\n")))
-            .when(z["before"] == z["ts"]["role"], F.lit(SEP))
-            .otherwise(F.concat(F.lit(END + START), escape_role(z["ts"]["role"]), F.lit("\n")))
-            .alias("open"),
-            escape(z["ts"]["text"]).alias("body"),
-            (z["ts"]["role"] == loss_role).alias("loss"),
-        ),
+        F.col(f"`{conv_col}`").alias("conv_id"),
+        F.col(f"`{turn_col}`").alias("turn"),
+        text_of(F.col(f"`{role_col}`")).alias("role"),
+        text_of(F.col(f"`{text_col}`")).alias("text"),
     )
-    t = t.select("conv_id", pieces.alias("p"))
-    formatted = F.concat(
-        F.array_join(F.transform("p", lambda x: F.concat(x["open"], x["body"])), ""), F.lit(END)
+    t = t.withColumns({"place": F.row_number().over(order), "before": F.lag("role").over(order)})
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    opening = F.when(F.col("before").isNull(), head).when(F.col("before") == F.col("role"), SEP).otherwise(F.concat(F.lit(END), head))
+    t = t.withColumns({"open": opening, "body": escape(F.col("text"))})
+    until = lambda size: F.sum(size("open") + size("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size("body")
+    turn = F.struct(
+        "place",
+        (F.col("before").isNull() | (F.col("before") != F.col("role"))).alias("first"),
+        "role",
+        "body",
+        F.struct(
+            until(F.length).alias("start"),
+            F.length("body").cast("long").alias("length"),
+            until(F.octet_length).alias("byte_start"),
+            F.octet_length("body").cast("long").alias("byte_length"),
+        ).alias("span"),
     )
-    step = F.aggregate(
-        "p",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["open"]) + F.length(x["body"])).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["open"])).alias("start"), F.length(x["body"]).alias("length")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+    t = t.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    begins = F.transform(F.filter("ts", lambda x: x["first"]), lambda x: x["place"])
+    t = t.select("conv_id", "ts", F.concat(begins, F.array(F.size("ts") + 1)).alias("at"))
+    runs = F.transform(
+        F.slice("at", 1, F.size("at") - 1),
+        lambda begin, i: F.struct(
+            F.get(F.col("ts"), begin - 1)["role"].alias("role"),
+            F.array_join(F.transform(F.slice(F.col("ts"), begin, F.get(F.col("at"), i + 1) - begin), lambda x: x["body"]), SEP).alias("text"),
         ),
     )
-    return t.select("conv_id", formatted.alias("formatted"), step["spans"].alias("loss_spans"))
+    block = lambda r: F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n"), r["text"], F.lit(END))
+    spans = F.transform(F.filter("ts", lambda x: x["role"] == loss_role), lambda x: x["span"])
+    return t.select("conv_id", F.array_join(F.transform(runs, block), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
@@ -126,12 +117,10 @@ def parse_chats(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(
-        F.transform(
-            "loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))
-        ),
-        "",
-    )
+    # bytes are cut without a walk from the beginning; as an element of an array they are made once
+    whole = F.array(F.struct(F.encode("formatted", "UTF-8").alias("bytes"), F.col("loss_spans").alias("spans")))
+    cut = lambda z, s: F.decode(F.substr(z["bytes"], (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")), "UTF-8")
+    loss = F.transform(whole, lambda z: F.array_join(F.transform(z["spans"], lambda s: unescape(cut(z, s))), ""))[0]
     return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 
 

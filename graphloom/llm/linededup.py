@@ -21,7 +21,7 @@ The edit distance of a line and the one that displaces it is verified on the tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import drop_scratch, materialize
@@ -96,10 +96,15 @@ def _variants(around: Column, text: Column, whole: Column, first: Column) -> Col
     return F.when(whole, one).when(text != "", cut)
 
 
+def _key(id_: Column, text: Column) -> Column:
+    """Tells rows apart and orders them: the id, nulls first, then a hash of the text for rows that share an id."""
+    return F.struct(id_.alias("doc_id"), F.xxhash64(text).alias("h"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     return (
-        docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "pos", F.trim("line").alias("line"))
+        docs.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("key", "pos", F.trim("line").alias("line"))
         .filter(F.col("line") != "")
     )
 
@@ -114,15 +119,16 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
 def kept_lines(
     docs: DataFrame, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, kept array<int>)``: places of the non-blank lines that stay, for documents that keep any."""
+    """``(key, kept array<int>)``: places of the non-blank lines that stay, for documents that keep any; ``key`` as of ``_key``."""
     if near_chars < 2 * STEP + 1:
         raise ValueError(f"near_chars must be {2 * STEP + 1} or more")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = _lines(d).select("doc_id", "pos", *line_key(F.col("line")))
-    firsts = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "lines")
+    text = F.col(f"`{text_col}`")
+    d = docs.select(_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
+    hashed = _lines(d).select("key", "pos", *line_key(F.col("line")))
+    firsts = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first")), "lines")
     beaten = _beaten(d, near_chars)
     stay = firsts.join(_bounded(beaten, beaten.count()), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.pos").alias("kept"))
+    return stay.groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.pos").alias("kept"))
 
 
 def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
@@ -132,11 +138,11 @@ def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
     ends = long.select(F.xxhash64("line").alias("h1"), F.explode(_end_keys(F.col("line"), n)).alias("key"))
     shared = _shared(ends, "lines-ends")
     texts = (
-        long.select("doc_id", "pos", "line", F.explode(_end_keys(F.col("line"), n)).alias("key"))
-        .join(shared, "key", "left_semi")
-        .select(*line_key(F.col("line")), "doc_id", "pos", "line")
+        long.select("key", "pos", "line", F.explode(_end_keys(F.col("line"), n)).alias("end"))
+        .join(shared.withColumnRenamed("key", "end"), "end", "left_semi")
+        .select(*line_key(F.col("line")), "key", "pos", "line")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.min("line").alias("line"))
+        .agg(F.min(F.struct("key", "pos")).alias("first"), F.min("line").alias("line"))
     )
     texts = materialize(texts, "lines-text")
     who = F.struct("first", "h1", "h2").alias("who")
@@ -168,22 +174,33 @@ def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    near_chars: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    count_cols: tuple[str, str] = ("n_lines", "n_kept"),
 ) -> DataFrame:
-    """``docs`` with the text of ``text_col`` replaced, and ``n_lines``, ``n_kept`` (non-blank lines before and after).
+    """``docs`` with the text of ``text_col`` replaced, and ``count_cols``: non-blank lines before and after.
 
     A repeated line goes, whichever document has it, unless it is the earliest by
     (document id, place); null ids come first. A near line goes if one within one edit is
     earlier; whether that one stays itself does not matter. Blank lines always stay. Null
     text stays null, with no lines. A document may end up with no line: its text then has
-    no more than blank lines. Rows that repeat a document id are read as one document: they
-    keep the same places. Columns of ``docs`` stay; one that is called ``n_lines`` or
-    ``n_kept`` is replaced. No rows: no rows.
+    no more than blank lines. Rows that share an id (or have none) are documents of their own,
+    in the order of a hash of their texts; of rows equal in both, one comes first. Columns of
+    ``docs`` stay; one that is called as a count is replaced. No rows: no rows.
     """
     kept = kept_lines(docs, near_chars, id_col, text_col)
-    d = docs.drop("n_lines", "n_kept").alias("d")
-    split = F.split(F.col(f"d.{text_col}"), "\n")
-    places = F.coalesce(F.col("k.kept"), F.array().cast("array<int>"))
+    names = [c for c in docs.columns if c not in count_cols]
+    # as fields of one column the caller's names clash with none of these
+    key = _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"), key.alias("key"))
+    d = d.join(kept, "key", "left")
+    equal = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    d = d.select("d", F.when(equal == 1, F.col("kept")).alias("kept"))
+    text = F.col("d").getField(text_col)
+    split = F.split(text, "\n")
+    places = F.coalesce(F.col("kept"), F.array().cast("array<int>"))
 
     def stay(lines: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(lines) - 1)
@@ -193,8 +210,6 @@ def dedup_lines(
 
     left = F.flatten(F.transform(F.array(split), stay))
     some = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    out = d.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")), "left")
-    others = [F.when(F.col(f"d.`{c}`").isNotNull(), F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in d.columns]
-    n = F.when(F.col(f"d.{text_col}").isNull(), 0).otherwise(some(split)).cast("long").alias("n_lines")
-    m = F.when(F.col(f"d.{text_col}").isNull(), 0).otherwise(some(left)).cast("long").alias("n_kept")
-    return out.select(*others, n, m)
+    others = [F.when(text.isNotNull(), F.array_join(left, "\n")).alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in names]
+    count = lambda a: F.when(text.isNull(), 0).otherwise(some(a)).cast("long")
+    return d.select(*others, count(split).alias(count_cols[0]), count(left).alias(count_cols[1]))

@@ -6,11 +6,12 @@ is decided by the cube method: the vector of probabilities moves within the null
 the balancing constraints until nearly all entries are 0 or 1, so the taken words and the
 taken documents of a source both meet their expectation; a small landing problem remains.
 
-A document that holds a large share of its source's words cannot be balanced by the others.
-Such documents, at most 1 / ``OUTLIER`` a source, are decided first, one by one, as the words
-still to be taken allow, and the probabilities of the others make up for the outcome.
+A document that holds a large share of its source's words cannot be balanced by one block of
+the others. Such documents, at most 1 / ``OUTLIER`` a source, fly first, together with the rest
+of their source as one unit: each step keeps the source's expected words (and documents, while
+three units are open), and the rest's probability is what its documents then fly with.
 
-The flight runs in blocks dealt by a hash of the document, few units at a time, and
+The flight of all other documents runs in blocks dealt by a hash of the document, few units at a time, and
 leaves at most two undecided units a block and source. What the blocks leave is gathered
 and flown again by source; the landing gives up the document count, then rounds one unit.
 """
@@ -33,7 +34,7 @@ BLOCK_ROWS = 2_000
 #: Undecided units of a source up to which it is flown in one go.
 GATHER_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
-#: Share of its source's words from which a document is decided before all others.
+#: Share of its source's words from which a document flies before all others.
 OUTLIER = 0.01
 _EDGE = 1e-9
 
@@ -140,20 +141,66 @@ class Flight:
         self.size = [self.size[i] for i in stay]
 
 
-def decide_outliers(sizes: list[int], words: float, rest: float, seed: int) -> tuple[list[int], float]:
-    """0 or 1 for each of ``sizes`` (largest first), and the words left for the others.
+def fly_outliers(sizes: list[int], pi: float, rest_size: float, rest_rows: int, seed: int) -> tuple[list[int], float]:
+    """0 or 1 for each of ``sizes`` (largest first), and the probability left to the rest.
 
-    ``words`` are to be taken in all, ``rest`` are those of the other units. A unit is taken
-    with the probability that is left, unless it exceeds what is still wanted or the units
-    after it could not fill that.
+    The cube method over these units and the rest, which stands for ``rest_rows`` units of
+    ``rest_size`` in all, every one with probability ``pi`` at first. A step moves along the
+    largest open unit, projected on the null space of the constraints. What is open when no
+    unit can make up for another is rounded by its probability.
     """
-    rng, out, after = np.random.default_rng(seed % 2**63), [], rest + sum(sizes)
-    for n in sizes:
-        chance, after = words / after if after else 0.0, after - n
-        take = n <= words and (words > after or rng.random() < chance)
-        words -= n * take
-        out.append(int(take))
-    return out, words
+    rng = np.random.default_rng(seed % 2**63)
+    p = np.full(len(sizes) + 1, pi)
+    a = np.array([[*([1.0] * len(sizes)), float(rest_rows)], [*map(float, sizes), float(rest_size)]])
+    a /= np.maximum(a.max(axis=1, keepdims=True), 1e-300)
+    is_open = lambda: (p > _EDGE) & (p < 1 - _EDGE) & (a.any(axis=0))
+    while is_open()[:-1].any():
+        at = np.flatnonzero(is_open())
+        j = int(at[0])
+        u = None
+        for k in (2, 1):  # both totals, then words alone
+            if len(at) > k:
+                c = a[2 - k :, at]
+                e = np.eye(len(at))[0]
+                v = e - np.linalg.pinv(c) @ (c @ e)
+                if v[0] > 1e-6:
+                    u = np.zeros(len(p))
+                    u[at] = np.where(np.abs(v) > 1e-12, v, 0.0)
+                    break
+        if u is None:
+            p[j] = float(rng.random() < p[j])
+            continue
+        on = u != 0
+        to_one, to_zero = (1 - p[on]) / np.abs(u[on]), p[on] / np.abs(u[on])
+        up, down = np.where(u[on] > 0, to_one, to_zero).min(), np.where(u[on] > 0, to_zero, to_one).min()
+        p = p + u * (up if rng.random() * (up + down) < down else -down)
+        near = np.minimum(p, 1 - p)
+        if not (near[at] <= _EDGE).any():  # rounding kept the wall just out of reach
+            w = at[near[at].argmin()]
+            p[w] = round(p[w])
+    return [int(x >= 0.5) for x in p[:-1]], float(min(1.0, max(0.0, p[-1])))
+
+
+def _outliers(large: DataFrame, seed: int) -> DataFrame:
+    """``(group, row, extra, pi)``: what ``fly_outliers`` decides, and with null ``row`` the rest's probability, source by source."""
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        rows.sort(key=lambda r: (-r["size"], r["tie"], str(r["doc_id"]), r["row"]))
+        one = rows[0]
+        rest = one["source_size"] - sum(r["size"] for r in rows)
+        choice, pi = fly_outliers([r["size"] for r in rows], one["part"], rest, one["rows"] - len(rows), hash((seed, one["group"])))
+        return pa.table(
+            {
+                "group": pa.array([one["group"]] * (len(rows) + 1), pa.int32()),
+                "row": pa.array([*(r["row"] for r in rows), None], pa.int64()),
+                "extra": pa.array([*choice, None], pa.int32()),
+                "pi": pa.array([*([0.0] * len(rows)), pi], pa.float64()),
+            }
+        )
+
+    return large.groupBy("group").applyInArrow(run, "group int, row long, extra int, pi double")
 
 
 def _fly(units: DataFrame, seed: int, land: bool) -> DataFrame:
@@ -230,9 +277,9 @@ def mix(
     """
     spark = docs.sparkSession
     d = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        n_words(F.col(text_col)).alias("size"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        n_words(F.col(f"`{text_col}`")).alias("size"),
     )
     d = materialize(d.withColumn("row", F.monotonically_increasing_id()), "mix")
     totals = {r["source"]: r for r in d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()}
@@ -244,29 +291,23 @@ def mix(
     sure = [round(r) if p == 0 else math.floor(r) for r, p in zip(ratio, part, strict=True)]
     blocks = [max(1, totals[s]["rows"] // BLOCK_ROWS) for s in order]
     plan = spark.createDataFrame(
-        [(s, i, int(sums[s]), float(aim[s]), sure[i], part[i], blocks[i]) for i, s in enumerate(order)],
-        "plan_source string, group int, source_size long, target double, sure int, part double, blocks int",
+        [(s, i, int(sums[s]), float(aim[s]), sure[i], part[i], blocks[i], totals[s]["rows"]) for i, s in enumerate(order)],
+        "plan_source string, group int, source_size long, target double, sure int, part double, blocks int, rows long",
     )
-    d = d.join(plan.select("plan_source", "group", "source_size", "part", "blocks"), d["source"].eqNullSafe(F.col("plan_source")))
+    d = d.join(plan.select("plan_source", "group", "source_size", "part", "blocks", "rows"), d["source"].eqNullSafe(F.col("plan_source")))
     tie = F.xxhash64(F.lit(seed), "doc_id", "size")
     outlier = (F.col("part") > 0) & (F.col("size") > F.col("source_size") * OUTLIER)
-    large = d.filter(outlier).select("group", "size", tie.alias("tie"), "doc_id", "row").collect()
-    large.sort(key=lambda r: (r["group"], -r["size"], r["tie"], r["doc_id"] is None, r["doc_id"] or 0))
-    decided_rows, left_part = [], dict(enumerate(part))
-    for i, s in enumerate(order):
-        mine = [r for r in large if r["group"] == i]
-        rest = sums[s] - sum(r["size"] for r in mine)
-        choice, words = decide_outliers([r["size"] for r in mine], part[i] * sums[s], rest, hash((seed, i)))
-        decided_rows += [(r["row"], x) for r, x in zip(mine, choice, strict=True)]
-        left_part[i] = min(1.0, max(0.0, words / rest)) if mine and rest else part[i]
-    parts = spark.createDataFrame(sorted(left_part.items()), "group int, pi double")
+    large = d.filter(outlier).select("group", "size", tie.alias("tie"), "doc_id", "row", "source_size", "part", "rows")
+    large = materialize(_outliers(large, seed), "mix-outliers")
+    parts = large.filter("row is null").select("group", F.col("pi").alias("left_part"))
     units = (
         d.filter(~outlier)
-        .join(parts, "group")
+        .join(parts, "group", "left")
+        .withColumn("pi", F.coalesce("left_part", "part"))
         .select("doc_id", "source", "size", "row", "group", F.pmod(tie, F.col("blocks").cast("long")).cast("int").alias("block"), tie.alias("tie"), "pi")
     )
-    chosen = spark.createDataFrame(decided_rows, "row long, extra int")
-    outliers = d.filter(outlier).join(chosen, "row").select("doc_id", "source", "size", "row", "group", F.lit(0).alias("block"), tie.alias("tie"), F.lit(0.0).alias("pi"), "extra")
+    outliers = d.filter(outlier).join(large.filter("row is not null").select("row", "extra"), "row")
+    outliers = outliers.select("doc_id", "source", "size", "row", "group", F.lit(0).alias("block"), tie.alias("tie"), F.lit(0.0).alias("pi"), "extra")
     flown = materialize(_fly(units, seed, land=False), "mix-flown")
     decided = [outliers, flown.filter("extra is not null")]
     level = 0
@@ -296,8 +337,10 @@ def mix(
 def resample(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` takes it.
 
-    Rows that repeat an id share their copies: each is taken as often as the first of them.
+    Rows that repeat an id (or have none) share their copies: each is taken as often as the first of them.
     """
-    copies = mix(docs, seed=seed, id_col=id_col, **columns).groupBy("doc_id").agg(F.max("copies").alias("__mix_copies"))
-    out = docs.join(copies.withColumnRenamed("doc_id", "__mix_id"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return out.filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(docs.columns)
+    copies = mix(docs, seed=seed, id_col=id_col, **columns).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    # as fields of one column the caller's names clash with none of these
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(f"`{id_col}`").alias("id"))
+    out = d.join(copies, F.col("id").eqNullSafe(F.col("doc_id"))).select("d", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return out.select(*(F.col("d").getField(c).alias(c) for c in docs.columns))

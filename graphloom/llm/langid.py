@@ -2,8 +2,8 @@
 
 Trained with follow-the-regularised-leader (FTRL-proximal, elastic net), then calibrated by
 a temperature on rows kept out of the fit. Document frequencies cover all rows that may be
-learned from; the weights are fitted on a bounded sample, ``per_lang`` rows a language in
-expectation.
+learned from; the weights are fitted on a bounded sample, in expectation ``per_lang`` rows a
+language and ``most_rows`` in all.
 """
 
 from __future__ import annotations
@@ -37,28 +37,43 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _shown(points: np.ndarray) -> np.ndarray:
+    """Letters of code points lower-cased, anything else a space."""
+    high = points > 0xFFFF
+    c = _letters()[np.where(high, 32, points)]
+    if high.any():
+        c = c.copy()
+        c[high] = [x if chr(x).isalpha() else 32 for x in points[high].tolist()]
+    return c
+
+
 def ngram_counts(text: str | None) -> np.ndarray | None:
-    """Hashed counts of letter 1- to 3-grams with word ends of a whole text; None without letters."""
+    """Hashed counts of the 1- to 3-grams of a whole text's letters; None without letters.
+
+    The text stands between spaces; whatever is no letter is a space, and spaces that follow a
+    space are left out. It is read in chunks; an n-gram counts in the chunk that holds its end.
+    """
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4")
     total = np.zeros(DIM, np.int64)
+    before = np.zeros(0, np.uint32)
     any_letter = False
     for at in range(0, len(points), CHUNK):
-        p = points[max(0, at - 2) : at + CHUNK]
-        high = p > 0xFFFF
-        c = _letters()[np.where(high, 32, p)]
-        if high.any():
-            c = c.copy()
-            c[high] = [x if chr(x).isalpha() else 32 for x in p[high].tolist()]
+        c = _shown(points[at : at + CHUNK])
         any_letter |= bool((c != 32).any())
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-        c = np.concatenate([[32], c[keep], [32]]).astype(np.uint32)
+        c = np.concatenate([[32] if at == 0 else [], c, [32] if at + CHUNK >= len(points) else []]).astype(np.uint32)
+        keep = c != 32
+        keep[1:] |= c[:-1] != 32
+        keep[0] |= not len(before) or before[-1] != 32
+        fresh = c[keep]
+        c = np.concatenate([before, fresh]).astype(np.uint32)
         two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
         three = two[:-1] * np.uint32(0x85EBCA6B) + c[2:]
         for n, g in enumerate((c, two, three)):
+            g = g[max(0, len(g) - len(fresh)) :]
             h = (g + np.uint32(n + 1)) * np.uint32(0xC2B2AE35)
             h ^= h >> np.uint32(15)
             total += np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(18), minlength=DIM)
+        before = c[-2:]
     return total if any_letter else None
 
 
@@ -129,13 +144,17 @@ def _share(seed: int, *cols: str) -> Column:
 
 
 def train(
-    docs: DataFrame, usable: Column, per_lang: int = 1500, seed: int = 5,
+    docs: DataFrame, usable: Column, per_lang: int = 1500, most_rows: int = 30_000, seed: int = 5,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model | None:
-    """Fit on the rows where ``usable`` holds and the language is not null; None if there are none with letters."""
+    """Fit on the rows where ``usable`` holds and the language is not null; None if there are none with letters.
+
+    The sample goes by a hash of id and text, and rows of the sample with the same n-grams count
+    once, so repeated rows do not swell it.
+    """
     import pyarrow as pa
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), usable.alias("usable"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), usable.alias("usable"))
     d = d.filter(F.col("usable") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +174,9 @@ def train(
     if not df[DIM]:
         return None
     counts = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}
-    cut = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    sample = d.filter(_share(seed, "doc_id") < cut[F.col("lang")])
+    each = min(per_lang, most_rows / len(counts))
+    cut = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
+    sample = d.filter(_share(seed, "doc_id", "text") < cut[F.col("lang")])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +192,7 @@ def train(
                 names=["lang", "at", "counts", "size"],
             )
 
-    rows = sample.select("text", "lang").mapInArrow(extract, "lang string, at binary, counts binary, size bigint").collect()
+    rows = sample.select("text", "lang").mapInArrow(extract, "lang string, at binary, counts binary, size bigint").distinct().collect()
     rows.sort(key=lambda r: (r["lang"], r["size"], bytes(r["at"]), bytes(r["counts"])))
     if not rows:
         return None
@@ -200,7 +220,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     import pyarrow as pa
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     shared = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

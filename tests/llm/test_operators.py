@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat, common, langid, licenses, linededup, mixing, packing, simhash, sketch, toxicity, vectors
@@ -108,6 +110,28 @@ def test_flight_keeps_both_totals():
     assert size == pytest.approx(0.3 * sum(u[2] for u in units), rel=1e-6)
 
 
+@pytest.mark.parametrize("sizes,rest,rows", [([300, 200, 150, 90], 1000, 500), ([50] * 40, 0, 0), ([900], 100, 30), ([40] * 6, 900, 3)])
+def test_large_documents_keep_their_probability(sizes, rest, rows):
+    pi, runs, total = 0.4, 1500, sum(sizes) + rest
+    took, left, met = np.zeros(len(sizes)), 0.0, 0
+    for seed in range(runs):
+        x, p = mixing.fly_outliers(sizes, pi, rest, rows, seed)
+        took += x
+        left += p
+        met += abs(np.dot(x, sizes) + p * rest - pi * total) < 1e-6 * total
+    assert np.abs(took / runs - pi).max() < 0.05
+    assert not rest or abs(left / runs - pi) < 0.05
+    assert met / runs >= (0 if sizes == [900] else 0.9)  # 900 alone overshoots
+
+
+def test_mix_of_equal_large_documents(spark):
+    """No document is small against its source; the words taken still are the target's."""
+    text = "word " * 300
+    d = docs(spark, [text] * 60, ["a", "b", "c"])
+    for r in mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 300
+
+
 def test_mix_awkward(spark, empty):
     got = mixing.mix(docs(spark, AWKWARD, ["a", None, "b"])).collect()
     assert len(got) == len(AWKWARD)
@@ -298,6 +322,31 @@ def test_similar_documents_links_by_the_exact_similarity(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_similar_documents_in_a_crowd(spark):
+    """A group of copies that differ so much that one in four is alike: the same groups as by all pairs."""
+    rng = random.Random(23)
+    base = words(rng, 150, 100_000).split()
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 7)):
+            w[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [words(rng, 100, 100_000) for _ in range(20)]
+    expected, shares = slow_similar(texts, 0.8)
+    assert len(set(expected)) > 22 and sum(s >= 0.8 for s in shares) > 300
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_bitmaps_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 30, 400, 3000):
+        a, b = (np.unique(rng.integers(0, 5000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (simhash.bitmap(a) ^ simhash.bitmap(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 # 4 toxicity
 
 
@@ -538,6 +587,16 @@ def test_lines(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows without an id, or with the same one, are documents of their own; of equal rows one comes first."""
+    rows = [(None, "alpha\nbeta"), (None, "beta\nalpha\n"), (1, "gamma"), (1, "gamma"), (1, "delta\ngamma"), (2, "alpha\ngamma"), (None, None), (None, None)]
+    got = linededup.dedup_lines(spark.createDataFrame([(*r, "keep", "as is") for r in rows], "`a.id` long, `the.text` string, n_kept string, `x.y` string"), id_col="a.id", text_col="the.text", count_cols=("before", "after")).collect()
+    assert len(got) == len(rows) and {(r["n_kept"], r["x.y"]) for r in got} == {("keep", "as is")}
+    lines = [x for r in got for x in (r["the.text"] or "").split("\n") if x]
+    assert sorted(lines) == ["alpha", "beta", "delta", "gamma"]
+    assert sum(r.after for r in got) == 4 and sum(r.before for r in got) == 10
+
+
 def test_lines_native(spark):
     plan = linededup.dedup_lines(docs(spark, ["a\nb"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -612,24 +671,61 @@ def test_adjacent_turns_are_merged(spark):
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["c"]
 
 
+def test_long_conversation(spark):
+    """Time grows with the turns, not with their square; spans hold in code points and in bytes."""
+    rows = [(1, t, ("user", "assistant", "assistant")[t % 3], f"é turn <| {t}") for t in range(40_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.digest(chat.format_chats(d)).first()
+    loss = "".join(x for *_, role, x in rows if role == "assistant")
+    assert (r.n_turns, r.loss_sha256) == (40_000, hashlib.sha256(loss.encode()).hexdigest())
+    r = chat.format_chats(d.filter("turn < 30")).first()
+    raw = r.formatted.encode()
+    for s in r.loss_spans:
+        assert r.formatted[s.start : s.start + s.length] == raw[s.byte_start : s.byte_start + s.byte_length].decode()
+
+
 # 9 sketches
 
 
+def slow_sketch(text, scale):
+    """The kept hashes, from the definition."""
+    w = (text or "").lower().split()
+    ids = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    found = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in ids[i : i + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", x), h)
+        found.add(h - 2**64 if h >= 2**63 else h)
+    return {h for h in found if h < -(2**63) + 2**64 // scale}
+
+
+def hexed(sketch_):
+    return "".join(f"{h % 2**64:016x}" for h in sorted(sketch_))
+
+
+def likeness(a, b, scale):
+    x, y = slow_sketch(a, scale), slow_sketch(b, scale)
+    return 1.0 if a == b else len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
 def test_sketch(spark, empty):
     rng = random.Random(12)
     texts = [*AWKWARD, *(words(rng, rng.randrange(1, 600), 5000) for _ in range(60))]
     got = {r.doc_id: r for r in sketch.edited_likeness(docs(spark, texts)).collect()}
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
-    off = []
+    off, scale = [], sketch.SCALE
     for i, t in enumerate(texts):
         t, after = t or "", texts[(i + 1) % len(texts)] or ""
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (hexed(slow_sketch(t, scale)), hexed(slow_sketch(edited, scale)))
+        assert got[i].near_edited == pytest.approx(likeness(t, edited, scale))
+        assert got[i].near_next == pytest.approx(likeness(t, after, scale))
         a, b = shingles(t), shingles(edited)
         if i >= len(AWKWARD) and min(len(a), len(b)) > 40:
             off.append(abs(got[i].near_edited - len(a & b) / min(len(a), len(b))))
-        assert 0 <= got[i].near_next <= 1
     assert np.mean(off) < 0.08
     assert got[8].fingerprint == got[9].fingerprint and got[0].fingerprint == got[1].fingerprint == ""
     assert sketch.edited_likeness(empty).count() == 0
@@ -646,15 +742,33 @@ def test_successors_across_buckets(spark, monkeypatch):
     assert got == {i: f"text {j}" for i, j in zip(order, [*order[1:], order[0]], strict=True)}
 
 
+def test_successors_of_repeated_ids(spark, monkeypatch):
+    """One id (null, then 5) has most rows; each row still follows exactly one other."""
+    monkeypatch.setattr(sketch, "BUCKET_ROWS", 7)
+    rows = [(None, f"none {i}") for i in range(100)] + [(5, f"five {i}") for i in range(100)] + [(9, "nine"), (9, "nine"), (2, "two")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(r["count"] for r in sketch.with_next(d).groupBy("bucket").count().collect()) < 60
+    got = sketch.edited_pairs(d).select("doc_id", "text", "next").collect()
+    assert sorted((r.text, r.doc_id or 0) for r in got) == sorted((t, i or 0) for i, t in rows)
+    assert sorted(r.next for r in got) == sorted(t for _, t in rows)
+    after = {r.text: r.next for r in got}
+    assert after["two"].startswith("five") and after["nine"] in ("nine", min((t for i, t in rows if i is None), key=lambda t: spark_hash(t)))
+
+
+def spark_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(300))
     r = spark.createDataFrame([(a, b)], "a string, b string").select(
         sketch.merge(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m"), sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b")
     )
-    low = sketch._limit(sketch.SCALE)
     row = r.first()
-    assert [h for h in row.m if h < low] == sorted(h for h in {*row.a, *row.b} if h < low)
+    assert set(row.m) == slow_sketch(a, sketch.SCALE) | slow_sketch(b, sketch.SCALE)
     assert r.select(sketch.containment(F.col("m"), F.col("b"))).first()[0] == 1
+    assert r.select(sketch.jaccard(F.col("m"), F.col("b"))).first()[0] == len(row.b) / len(row.m)
 
 
 def test_sketch_native(spark):
@@ -665,6 +779,20 @@ def test_sketch_native(spark):
 # 10 language
 
 
+def test_ngrams_over_chunks(monkeypatch):
+    text = ("Ein Satz, 12 -- und  noch einer!  " * 7 + "é中𐐀 ") * 5
+    for t in (text, "  " + text, "a", " a ", "12", ""):
+        monkeypatch.setattr(langid, "CHUNK", 1 << 18)
+        whole = langid.ngram_counts(t)
+        for size in (1, 2, 3, 7, 64):
+            monkeypatch.setattr(langid, "CHUNK", size)
+            part = langid.ngram_counts(t)
+            assert (whole is None and part is None) or (whole == part).all()
+    shown = " " + " ".join("".join(x.lower() if x.isalpha() else " " for x in text).split()) + " "
+    monkeypatch.setattr(langid, "CHUNK", 1 << 18)
+    assert langid.ngram_counts(text).sum() == sum(max(0, len(shown) - n) for n in range(3))
+
+
 def test_language(spark, empty):
     rng = random.Random(14)
     letters = {"en": "the and of in on to ing", "de": "der die und sch ung ein ich", "fr": "le la et les eau tion é"}

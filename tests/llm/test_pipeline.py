@@ -48,6 +48,19 @@ def test_stages_on_awkward_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_keep_columns_with_awkward_names(spark):
+    rows = [(i % 3 or None, f"some words that differ {i} times\nand a line of their own {i}" if i < 8 else "the same text here", "en", "ab"[i % 2], 0, f"own {i}", 2, 3, "d", "r") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, n_kept int, n_lines int, d string, `row` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.names == docs.schema.names, name
+        for r in out.collect():
+            assert (r["n_kept"], r["n_lines"], r["d"], r["row"]) == (2, 3, "d", "r") and r["a.b"].startswith("own"), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 12
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sum(r.text == "the same text here" for r in left) == 1
+
+
 def test_queries_are_registered():
     names = entry.queries()
     for n in range(1, 11):

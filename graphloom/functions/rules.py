@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Paths of deployment and pipeline files, prefixes of work branches.
 INFRA = (
-    r"(?i)(^|/)(docker-compose[^/]*\.ya?ml|dockerfile[^/]*|\.gitlab-ci\.ya?ml|jenkinsfile[^/]*|\.drone\.ya?ml|"
-    r"azure-pipelines[^/]*\.ya?ml|bitbucket-pipelines\.ya?ml|helm[^/]*/|charts?/|infra/|k8s/|k3s/|kubernetes/|argo(cd)?/|"
-    r"flux/|ansible/|terraform/|\.github/workflows/|\.circleci/|kustomization\.ya?ml|values(-[^/]*)?\.ya?ml|[^/]+\.tfvars|[^/]+\.tf)"
+    r"(^|/)(docker-compose[^/]*\.ya?ml|Dockerfile[^/]*|\.gitlab-ci\.ya?ml|"
+    r"Jenkinsfile[^/]*|\.drone\.ya?ml|azure-pipelines[^/]*\.ya?ml|bitbucket-pipelines\.ya?ml|"
+    r"helm[^/]*/|charts?/|infra/|k8s/|k3s/|kubernetes/|argo(cd)?/|flux/|"
+    r"ansible/|terraform/|\.github/workflows/|\.circleci/|"
+    r"kustomization\.ya?ml|values(-[^/]*)?\.ya?ml|[^/]+\.tfvars|[^/]+\.tf)"
 )
-BRANCH_PREFIXES = ("feature/", "fix/", "refactor/", "hotfix/")
+BRANCH_PREFIXES = ("feature/", "fix/", "refactor/", "hotfix/", "chore/")
+PROTECTED_BRANCHES = ("main", "master", "develop", "stg", "staging", "release", "production")
+MEANINGLESS = r"(?i)^(js|ts|py|tmp|test|temp|wip|\d+|[a-z]{1,2}\d*)$"
 DOC_CHARS, LABEL_CHARS = 400, 300
 
 
 def is_infra(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/")).rlike(INFRA)
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike("(?i)" + INFRA)
 
 
 def verdict(diff: Column, files: Column, score: Column) -> Column:
@@ -29,21 +34,25 @@ def verdict(diff: Column, files: Column, score: Column) -> Column:
     return F.struct(F.when(veto.isNull(), score).otherwise(0.0).alias("score"), veto.alias("veto"))
 
 
+def is_protected(name: Column) -> Column:
+    return F.lower(F.trim(name)).isin(*PROTECTED_BRANCHES)
+
+
 def branch_issue(name: Column) -> Column:
-    """Why a branch name is not fit: prefix, empty, short or meaningless; null if it is."""
+    """Why a branch name is not fit: prefix, protected, empty, short or meaningless; null if it is."""
     known = F.lit(False)
     for p in BRANCH_PREFIXES:
         known = known | name.startswith(p)
     slug = F.regexp_extract(name, "^[^/]*/(.*)$", 1)
     return (
-        F.when(~known, "prefix").when(slug == "", "empty").when(F.length(slug) < 4, "short").when(slug.rlike(r"^(\d+|[a-z]{1,2}\d*|test|tmp|temp|wip)$"), "meaningless")
+        F.when(~known, "prefix").when(is_protected(name), "protected").when(slug == "", "empty").when(F.length(slug) < 4, "short").when(slug.rlike(MEANINGLESS), "meaningless")
     )
 
 
 def suggest_branch(prefix: str, keywords: Column, most: int = 4) -> Column:
     """A branch name of the first distinct words, at most ``most`` and 50 characters."""
     words = F.flatten(F.transform(keywords, lambda k: F.split(F.lower(k), "[^a-z0-9]+")))
-    words = F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.rlike(r"^(\d+|[a-z]{1,2}\d*)$")))
+    words = F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.rlike(MEANINGLESS)))
     # a word that another, earlier one is part of says nothing new
     novel = F.filter(words, lambda w, i: ~F.exists(F.slice(words, F.lit(1), i), lambda v: w.contains(v)))
     slug = F.regexp_replace(F.substring(F.array_join(F.slice(novel, 1, most), "-"), 1, 50), "^-+|-+$", "")
@@ -123,8 +132,6 @@ def first_json(text: str | None) -> str | None:
 
 
 def first_json_column(text: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def rule(texts: pd.Series) -> pd.Series:
         return texts.map(first_json, na_action="ignore")

@@ -35,6 +35,7 @@ INTENT_HINTS = {
     ),
 }
 
+# What counts as a version, a route, a file name and a symbol in a request.
 VERSION = r"(?U)(?<![\w.])\d+(?:\.\d+){1,3}(?![\w.])"
 ROUTE = r"(?iU)(?<![\w/])/[a-z0-9][\w\-/\[\]]*"
 FILE = r"(?iU)\b[\w\-]+\.(?:py|tsx?|jsx?|rs|vue|svelte|go|java|rb)\b"
@@ -99,10 +100,13 @@ def mentions(text: Column | str) -> Column:
 
 
 def normalize_url(url: Column | str) -> Column:
-    """A called path: query dropped, parameter segments as ``*``, leading slash; a scheme stays a segment."""
-    bare = F.substring_index(_col(url), "?", 1)
+    """A called path: query dropped, parameter segments as ``*``, leading slash; a scheme stays a segment.
+
+    A segment is a parameter if it begins with a colon or has a ``*``, ``{`` or ``[`` once templates are ``*``.
+    """
+    bare = F.regexp_replace(F.substring_index(_col(url), "?", 1), r"\$\{[^}]*\}", "*")
     parts = F.filter(F.split(bare, "/"), lambda s: s != "")
-    param = lambda s: s.contains("${") | s.startswith(":") | s.startswith("{") | s.startswith("[")
+    param = lambda s: s.startswith(":") | s.contains("*") | s.contains("{") | s.contains("[")
     return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(param(s), "*").otherwise(s)), "/"))
 
 
@@ -122,10 +126,17 @@ def host_of(url: Column | str) -> Column:
     return F.regexp_extract(_col(url), r"^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)", 1)
 
 
+# Credentials in URLs of any scheme, and prefixes by which issuers mark access tokens.
+URL_SECRET = r"(?U)([a-zA-Z][a-zA-Z0-9+.-]*://)([^:/@\s]+):([^@\s]+)@"
+URL_TOKEN = r"(?U)([a-zA-Z][a-zA-Z0-9+.-]*://)([^:/@\s]+)@"
+BARE_TOKEN = r"(?U)\b(glpat-|gldt-|ghp_|gho_|ghu_|ghs_|github_pat_|sk-|xoxb-)[A-Za-z0-9_-]{8,}"
+
+
 def mask_secrets(text: Column | str) -> Column:
-    """Credentials in URLs and bare access tokens, masked."""
-    c = F.regexp_replace(_col(text), r"(?i)(https?://)[^/\s:@]+(?::[^/\s@]*)?@", "$1***@")
-    return F.regexp_replace(c, r"\b(?:glpat|ghp|gho|sk)[-_][A-Za-z0-9_-]{10,}", "***")
+    """Secrets as ``***``: a URL's password (its user stays) or token, and what follows a bare token's prefix."""
+    c = F.regexp_replace(_col(text), URL_SECRET, "$1$2:***@")
+    c = F.regexp_replace(c, URL_TOKEN, "$1***@")
+    return F.regexp_replace(c, BARE_TOKEN, "$1***")
 
 
 def hint_count(text: Column | str, hints: Sequence[str]) -> Column:

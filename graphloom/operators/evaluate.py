@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Titles of bookkeeping changes.
-BOOKKEEPING = r"(?i)^\s*(merge\b|revert\b|bump\b|release\b|chore\b|wip\b|hotfix merge|sync\b|version\b|v?\d+\.\d+)"
+from graphloom.plans.scratch import cut
+
+# Titles of bookkeeping changes. Narrow on purpose: a title that says what is to be done stays.
+BOOKKEEPING = r"(?iU)^\s*(?:revert\b|merge\s+(?:branch|remote)\b|\[release\]|release:\s)|develop\s*(?:→|->)\s*(?:stage|stg|main|master)"
 MIN_TITLE = 15
 
 
@@ -23,6 +25,27 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10) -> DataF
     )
 
 
+def holders(docs: DataFrame, heads: DataFrame, most: int = 200_000) -> DataFrame:
+    """``(query_id, id)``: the documents ``(id, text)`` that contain a ``head`` of ``(query_id, head)``.
+
+    A text that contains a head has every word that stands inside it between blanks, so the longest
+    of them is looked up first; only texts that have it are searched. Heads without such a word
+    are searched in all texts. Up to ``most`` words are broadcast, more are joined by shuffling.
+    """
+    inner = F.split("head", "[ \n]+")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    h = cut(heads.filter("head <> ''").select("query_id", "head", anchor.alias("word")), "heads")
+    words = h.filter("word is not null").select("word").distinct()
+    words = F.broadcast(words) if h.count() <= most else words
+    have = docs.select("id", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("word")).join(words, "word", "left_semi")
+    found = have.join(h, "word").join(docs, "id").filter(F.contains("text", F.col("head"))).select("query_id", "id")
+    rest = h.filter("word is null")
+    if not rest.isEmpty():
+        found = found.unionAll(docs.join(rest, F.contains("text", F.col("head"))).select("query_id", "id"))
+    return found
+
+
 def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``(mean_recall, fully_covered)`` of ``found(query_id, files)`` against ``truth(query_id, files)``."""
     both = truth.select("query_id", F.col("files").alias("want")).join(found.select("query_id", "files"), "query_id", "left")
@@ -31,16 +54,29 @@ def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     return r.agg(F.avg("r").alias("mean_recall"), F.avg((F.col("r") >= 1).cast("double")).alias("fully_covered"))
 
 
-def exclusion(indexed: Column, ambiguous: Column, title: Column) -> Column:
-    """Why a case is left out: the first rule that holds; null if none does."""
+def exclusion(title: Column, ambiguous: Column, indexed: Column, expanded: Column) -> Column:
+    """Why a case is left out: the first rule that holds; null if none does.
+
+    In this order: a bookkeeping title, a short one (blanks count), one that stands for several
+    sets of files, files that are all unknown, a request without expansion or vector.
+    """
     return (
-        F.when(~indexed, "unindexed")
+        F.when(title.rlike(BOOKKEEPING), "bookkeeping")
+        .when(F.length(title) < MIN_TITLE, "short")
         .when(ambiguous, "ambiguous")
-        .when(title.rlike(BOOKKEEPING), "bookkeeping")
-        .when(F.length(F.trim(title)) < MIN_TITLE, "short")
+        .when(~indexed, "unindexed")
+        .when(~expanded, "unexpanded")
     )
 
 
+def stale_repos(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """``(repo, recorded, current, stale, no_head)`` of two ``(repo, head)`` tables: heads of 12 digits; unknown now is not stale."""
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 12)
+    both = recorded.select("repo", F.col("head").alias("a")).join(current.select("repo", F.col("head").alias("b")), "repo", "left")
+    both = both.select("repo", cut(F.col("a")).alias("recorded"), cut(F.col("b")).alias("current"))
+    return both.select("*", ((F.col("current") != "") & (F.col("recorded") != F.col("current"))).alias("stale"), (F.col("recorded") == "").alias("no_head"))
+
+
 def ambiguous_titles(cases: DataFrame) -> DataFrame:
     """``(title, n)``: titles that stand for more than one set of files."""
     return cases.groupBy("title").agg(F.count_distinct(F.array_sort("files")).alias("n")).filter("n > 1")

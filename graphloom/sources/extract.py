@@ -37,6 +37,7 @@ NONCODE = (
     r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", r"/\*[\s\S]*?\*/", r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'",
     r"`(?:\\.|[^`\\])*`", r"#[^\n]*", r"//[^\n]*",
 )
+# An interpolation inside a string, a call.
 INTERPOLATED = r"\$?\{([^{}]*)\}"
 CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
 
@@ -75,7 +76,7 @@ def labels(text: str) -> str | None:
 
 
 def normalize_url(url: str) -> str:
-    """A called path without query, parameter segments as ``*``."""
+    """The rule of ``functions.text.normalize_url`` for one call, as it is extracted."""
     bare = re.sub(r"\$\{[^}]*\}", "*", url.partition("?")[0])
     parts = [s for s in bare.split("/") if s]
     return "/" + "/".join("*" if s[0] == ":" or set("*{[") & set(s) else s for s in parts)
@@ -230,6 +231,7 @@ def rust_rows(out: Rows, text: str) -> None:
     out.head("rust", text, {r["name"] for r in out.rows if r.get("kind") in ("class", "function")} | set(own), doc)
 
 
+# Names written in configurations and documents, by file type.
 _WORD = r"[A-Za-z_][\w.-]{2,}"
 _CONFIG_RULES = {
     "yaml": (rf"(?m)^\s*({_WORD})\s*:", rf"(?m)^\s*-\s+({_WORD})\s*$", rf"(?m)^\s*[A-Za-z_][\w.-]*\s*:\s*((?!(?i:true|false|null|none|yes|no|on|off)\s*$){_WORD})\s*$"),

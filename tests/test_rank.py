@@ -92,10 +92,10 @@ def test_metrics(spark):
 
 
 def test_exclusions(spark):
-    rows = [("a", "Merge branch x into y"), ("b", "fix it"), ("c", "Add a page for the users"), ("d", "Add a page for the users")]
+    rows = [("a", "Merge branch x into y"), ("b", "fix it"), ("c", "Add a page for the users"), ("d", "Add a page for the users"), ("e", "Add a page for the users"), ("f", "Merge the two lists of users")]
     d = spark.createDataFrame(rows, "k string, title string")
-    got = {r.k: r.why for r in d.select("k", evaluate.exclusion(F.col("k") != "d", F.lit(False), F.col("title")).alias("why")).collect()}
-    assert got == {"a": "bookkeeping", "b": "short", "c": None, "d": "unindexed"}
+    got = {r.k: r.why for r in d.select("k", evaluate.exclusion(F.col("title"), F.col("k") == "e", F.col("k") != "d", F.col("k") != "f").alias("why")).collect()}
+    assert got == {"a": "bookkeeping", "b": "short", "c": None, "d": "unindexed", "e": "ambiguous", "f": "unexpanded"}
 
 
 def test_journal(spark):

@@ -18,7 +18,7 @@ def test_infra(spark, path, infra):
     assert value(spark, rules.is_infra(F.col("p")), p=path) is infra
 
 
-@pytest.mark.parametrize(("name", "issue"), [("feature/ontology-v4", None), ("topic/x", "prefix"), ("fix/", "empty"), ("fix/js", "short"), ("fix/251205", "meaningless")])
+@pytest.mark.parametrize(("name", "issue"), [("feature/ontology-v4", None), ("topic/x", "prefix"), ("fix/", "empty"), ("fix/js", "short"), ("fix/251205", "meaningless"), ("chore/tidy-up", None), ("fix/TEMP", "meaningless"), ("main", "prefix")])
 def test_branch_names(spark, name, issue):
     assert value(spark, rules.branch_issue(F.col("n")), n=name) == issue
 

@@ -39,7 +39,7 @@ def test_mentions(spark):
 
 
 @pytest.mark.parametrize(
-    ("url", "expected"), [("/users/${id}?a=1", "/users/*"), ("/a/:b/{c}/[d]", "/a/*/*/*"), ("http://x/y", "/http:/x/y"), ("/", "/")]
+    ("url", "expected"), [("/users/${id}?a=1", "/users/*"), ("/a/:b/{c}/[d]", "/a/*/*/*"), ("http://x/y", "/http:/x/y"), ("/", "/"), ("/user${id}/a*b/x{y", "/*/*/*")]
 )
 def test_normalize_url(spark, url, expected):
     assert value(spark, text.normalize_url("u"), u=url) == expected
@@ -54,7 +54,7 @@ def test_intent(spark, request_text, expected):
 
 
 def test_small_rules(spark):
-    assert value(spark, text.mask_secrets("t"), t="https://bob:pw@host/x ghp_abcdefghijkl") == "https://***@host/x ***"
+    assert value(spark, text.mask_secrets("t"), t="https://bob:pw@host/x ghp_abcdefgh xoxb-1234567 ssh://t0ken@h github_pat_abcdefgh") == "https://bob:***@host/x ghp_*** xoxb-1234567 ssh://***@h github_pat_***"
     assert value(spark, text.slugify("t"), t=" Add: New Page! ") == "add-new-page"
     assert value(spark, text.host_of("t"), t="http://some-host:8000/x") == "some-host"
     assert value(spark, text.area_of("t"), t="a/b/c/d.py") == "a/b/c"

@@ -62,7 +62,7 @@ def refresh(graph: PropertyGraph, changed: DataFrame, extracted: PropertyGraph)
     kept = PropertyGraph(nodes, edges)
     merged = PropertyGraph(
         kept.nodes.unionByName(extracted.nodes, allowMissingColumns=True),
-        kept.edges.unionByName(extracted.edges, allowMissingColumns=True),
+        kept.edges.unionByName(extracted.edges, allowMissingColumns=True).dropDuplicates(["src", "dst", "kind"]),
     )
     return merged.repaired()
 
@@ -74,3 +74,70 @@ def append_new(notes: DataFrame, fresh: DataFrame) -> DataFrame:
     mine = notes.select(*key)
     theirs = fresh.select("*", *key).dropDuplicates(["_a", "_n"])
     return theirs.join(mine, ["_a", "_n"], "left_anti").drop("_a", "_n")
+
+
+def changed_files(committed: DataFrame, worktree: DataFrame) -> DataFrame:
+    """``(path)``: what was committed ``(path)`` and what the working tree holds ``(status, path)``, once each.
+
+    A renamed or copied file counts under its new path, which ``path`` is; slashes are forward.
+    """
+    both = committed.select("path").unionAll(worktree.filter("path <> ''").select("path"))
+    return both.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path")).distinct()
+
+
+def relevant(changed: DataFrame, scope: str | None = None) -> DataFrame:
+    """The changed paths that sources are read from: known suffixes, inside the scope's folder if there is one."""
+    from graphloom.sources.files import SUFFIXES
+
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    out = changed.filter(suffix.isin(*SUFFIXES))
+    return out.filter(F.startswith("path", F.lit(scope.rstrip("/") + "/"))) if scope else out
+
+
+def pull_plan(clones: DataFrame) -> DataFrame:
+    """``(repo, action, shared)`` of clones ``(ord, repo, root, is_git, fetched, dirty, ahead, behind, forwarded)``.
+
+    Only a clean clone that is merely behind is moved, and only forward; ``forwarded`` says whether
+    that worked. ``ahead`` and ``behind`` are null without an upstream. Clones in one folder share
+    the outcome of the first.
+    """
+    action = (
+        F.when(~F.col("is_git"), "skipped")
+        .when(~F.col("fetched"), "fetch_failed")
+        .when(F.col("dirty") | F.col("ahead").isNull() | F.col("behind").isNull(), "fetched_only")
+        .when(F.col("behind") == 0, "already_latest")
+        .when(F.col("ahead") > 0, "fetched_only")
+        .when(F.col("forwarded"), "updated")
+        .otherwise("ff_failed")
+    )
+    root = F.lower("root").alias("root")
+    first = clones.groupBy(root).agg(F.min(F.struct("ord", action.alias("action"))).alias("first"))
+    return clones.select("ord", "repo", root).join(first, "root").select("repo", F.col("first.action").alias("action"), (F.col("ord") != F.col("first.ord")).alias("shared"))
+
+
+def sync_all(graph: PropertyGraph, changed: DataFrame, extracted: PropertyGraph, gateway: PropertyGraph | None = None) -> tuple[PropertyGraph, DataFrame]:
+    """The graph after a round over all sources, and ``(action, n)`` of what was done.
+
+    Files of ``changed(repo, path)`` give way to what was extracted of them; the routing tables, which
+    are small, are replaced as a whole; edges that then lead nowhere are dropped.
+    """
+    stale = graph.nodes.join(changed.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select("id")
+    old = graph.nodes.join(stale, "id", "left_anti").select(*graph.nodes.columns)
+    out = PropertyGraph(
+        old.unionByName(extracted.nodes, allowMissingColumns=True),
+        graph.edges.join(stale.withColumnRenamed("id", "src"), "src", "left_anti").select(*graph.edges.columns).unionByName(extracted.edges, allowMissingColumns=True).dropDuplicates(["src", "dst", "kind"]),
+    )
+    done = [changed.distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("changed").alias("action"), "n")]
+    if gateway is not None:
+        gone = out.nodes.filter("kind = 'gateway_route'").select("id")
+        kept = out.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        out = PropertyGraph(
+            out.nodes.filter("kind <> 'gateway_route'").unionByName(gateway.nodes, allowMissingColumns=True),
+            kept.select(*graph.edges.columns).unionByName(gateway.edges, allowMissingColumns=True),
+        )
+        done.append(gateway.nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("gateway routes").alias("action"), "n"))
+    done.append(out.dangling().agg(F.count(F.lit(1)).alias("n")).select(F.lit("dropped").alias("action"), "n"))
+    report = done[0]
+    for more in done[1:]:
+        report = report.unionAll(more)
+    return out.repaired(), report

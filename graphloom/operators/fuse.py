@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,36 +12,68 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 20_000
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def normalized(v: Column) -> Column:
-    """A vector over its length plus 1e-9."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + 1e-9
-    return F.transform(F.array(F.struct(v.alias("v"), length.alias("n"))), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
-
-
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, id, score)``: the nearest vectors of each query by cosine, in double precision.
 
-    The queries are a stated set. They are broadcast to the vectors in blocks of at most
-    ``QUERY_BLOCK``, however many there are; every block keeps its own first ``k``.
+    The queries are a stated set. They are sent to the vectors in blocks of at most
+    ``QUERY_BLOCK`` of each length, however many there are. A batch of vectors is multiplied with
+    a block at once and leaves ``k`` rows a query. Null and empty vectors are near to nothing.
     """
-    v = vectors.select("id", normalized(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", normalized(F.col("embedding")).alias("q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    import pyarrow as pa
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    asked = queries.filter("size(embedding) > 0").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    count = asked.groupBy(F.size("q").alias("n")).count().collect()
+    blocks = max([1, *(-(-r["count"] // QUERY_BLOCK) for r in count)])
+    v = vectors.filter("size(embedding) > 0").select("id", F.col("embedding").cast("array<double>").alias("v"))
     out = None
     for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        s = v.join(F.broadcast(part), F.size("v") == F.size("q")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-        s = s.withColumn("rank", rank).filter(F.col("rank") <= k)
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        sent = vectors.sparkSession.sparkContext.broadcast(part.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            block = dict(_matrices(sent.value.combine_chunks()))
+            for batch in batches:
+                for dim, (ids, x) in _matrices(pa.table(batch.columns, names=["id", "v"])):
+                    if dim in block:
+                        keys, q = block[dim]
+                        at, row, score = _first(np.round(x @ q.T, 9), np.array(ids.to_pylist()), k)
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), ids.take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
+
+        s = v.mapInArrow(run, schema).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
         out = s if out is None else out.unionAll(s)
     return out
 
 
+def _matrices(table: object) -> Iterator:
+    """``(length, (ids, rows of length one))`` of the vectors of a table, by their length."""
+    import pyarrow as pa
+
+    ids, lists = (c.combine_chunks() for c in table.columns)
+    n = np.diff(lists.offsets.to_numpy())
+    for dim in np.unique(n):
+        at = pa.array(np.flatnonzero(n == dim))
+        x = lists.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+        yield int(dim), (ids.take(at), x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9))
+
+
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(column, row, score)`` of the first ``k`` rows of each column, by score, then id."""
+    score = np.where(np.isnan(score), -np.inf, score)
+    columns, rows = [], []
+    least = -np.partition(-score, k - 1, axis=0)[k - 1] if len(score) > k else np.full(score.shape[1], -np.inf)
+    for j in range(score.shape[1]):
+        at = np.flatnonzero(score[:, j] >= least[j])
+        at = at[np.lexsort((ids[at], -score[at, j]))[:k]]
+        columns.append(np.full(len(at), j))
+        rows.append(at)
+    c, r = np.concatenate(columns), np.concatenate(rows)
+    return c, r, score[r, c]
+
+
+
 def fuse(primary: DataFrame, secondary: DataFrame, k: int, head: int = 2, c: float = 60.0, offset: int = 1) -> DataFrame:
     """Reciprocal-rank fusion of two lists ``(query_id, rank, id)``: ``(query_id, rank, id, score)``.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import mentions, tokenize
+from graphloom.plans.scratch import cut
+
 
 def link_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:
     """``(file, id, role)`` of ``calls(file, repo, name)`` against ``definitions(id, file, repo, name)``.
@@ -105,16 +108,94 @@ def pick_mentions(hits: DataFrame, query_words: DataFrame, repo_words: DataFrame
 def fragment_hits(fragments: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
     """``(query_id, fragment, id)``: functions and classes whose name contains an identifier-like fragment, if 1 to ``most`` do.
 
-    ``fragments(query_id, fragment)`` come from requests and are broadcast.
+    ``fragments(query_id, fragment)`` come from requests; the pieces of names that are as long as
+    some fragment meet them by equality.
     """
     f = fragments.filter((F.length("fragment") >= 6) & (F.col("fragment").contains("_") | (F.lower("fragment") != F.col("fragment"))))
-    f = f.select("query_id", F.lower("fragment").alias("fragment")).distinct()
+    f = cut(f.select("query_id", F.lower("fragment").alias("fragment")).distinct(), "fragments")
+    lengths = [r[0] for r in f.select(F.length("fragment").alias("n")).distinct().orderBy("n").collect()]
     d = nodes.filter(F.col("kind").isin("function", "class")).select("id", F.lower("name").alias("name"))
-    hits = d.join(F.broadcast(f), F.col("name").contains(F.col("fragment"))).select("query_id", "fragment", "id")
+    sizes = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("name"))
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substr(F.col("name"), i, n))))
+    d = d.select("id", F.explode(F.array_distinct(pieces)).alias("fragment"))
+    hits = d.join(f, "fragment").select("query_id", "fragment", "id")
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "fragment"))
     return hits.withColumn("n", n).filter(F.col("n") <= most).drop("n")
 
 
+def find_anchors(nodes: DataFrame, queries: DataFrame, most: int = 4) -> DataFrame:
+    """``(query_id, mention, id)``: the nodes that requests ``(query_id, text, hint)`` name.
+
+    A mentioned route meets routes and gateway routes by name and endpoints by ``route_path``, a
+    file name files, a symbol functions and classes, letter case aside. What ``pick_mentions``
+    keeps counts; ``hint`` only helps to tell repositories apart. A request of which no mention
+    counts is tried by fragments of its symbols.
+    """
+    m = cut(queries.select("query_id", "hint", "text", mentions("text").alias("m")), "anchor-requests")
+    low = lambda c: F.transform(F.col(c), lambda x: F.lower(x))
+    named = lambda c, sort: F.transform(low(c), lambda x: F.struct(F.lit(sort).alias("sort"), x.alias("name")))
+    wanted = m.select("query_id", F.explode(F.concat(named("m.routes", "route"), named("m.files", "file"), named("m.symbols", "symbol"))).alias("w"))
+    wanted = wanted.select("query_id", "w.sort", "w.name").distinct()
+    kind = F.col("kind")
+    sort = F.when(kind.isin("route", "gateway_route", "endpoint"), "route").when(kind == "file", "file").when(kind.isin("function", "class"), "symbol")
+    path = F.col("route_path") if "route_path" in nodes.columns else F.lit(None).cast("string")
+    n = nodes.select("id", "repo", sort.alias("sort"), F.lower(F.when(kind == "endpoint", path).otherwise(F.col("name"))).alias("name")).filter("sort is not null and name <> ''")
+    hits = n.join(wanted, ["sort", "name"]).select("query_id", F.concat_ws(":", "sort", "name").alias("mention"), "id", "repo")
+    asked = m.select("query_id", F.explode(F.concat(tokenize("text"), tokenize("hint"))).alias("token")).distinct()
+    repos = nodes.select("repo").distinct().select("repo", F.explode(F.array_distinct(tokenize("repo"))).alias("token"))
+    found = cut(pick_mentions(hits, asked, repos, most).select("query_id", "mention", "id"), "anchors")
+    rest = m.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    rest = rest.select("query_id", F.explode("m.symbols").alias("fragment"))
+    return found.unionAll(fragment_hits(rest, nodes).select("query_id", F.concat(F.lit("part:"), "fragment").alias("mention"), "id"))
+
+
+def link_handlers(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(src, dst)`` from endpoints ``(id, repo, handler)`` to the functions ``(id, repo, name, path, ord)`` that serve them.
+
+    A handler is a name with the modules it lies in, ``a::b::name``. Functions of the repository
+    meet it by the last part of their name. The first one, as written, whose path contains the
+    handler's last module is taken; without such a one, the only one of that name.
+    """
+    last = lambda c: F.element_at(F.split(c, "::"), -1)
+    parts = F.split("handler", "::")
+    module = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")
+    e = endpoints.filter("handler <> ''").select(F.col("id").alias("src"), "repo", last("handler").alias("name"), module.alias("module"))
+    f = functions.select("repo", last("name").alias("name"), "path", F.col("id").alias("fid"), "ord")
+    near = (F.col("module") != "") & F.contains("path", F.col("module"))
+    key = F.struct("ord", "fid")
+    hits = e.join(f, ["repo", "name"]).groupBy("src").agg(
+        F.min(F.when(near, key))["fid"].alias("best"), F.count(F.lit(1)).alias("n"), F.min("fid").alias("only")
+    )
+    return hits.select("src", F.coalesce("best", F.when(F.col("n") == 1, F.col("only"))).alias("dst")).filter("dst is not null")
+
+
+# Suffixes that a script's import may leave out, in the order in which they are tried.
+SCRIPT_TAILS = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def resolve_specs(imports: DataFrame, files: DataFrame, aliases: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """``(src, spec, kind, target)`` of imports ``(src, repo, spec)`` that are no relative paths.
+
+    ``aliases(repo, alias, target)`` whose alias begins the spec are tried, the longest first; the
+    first target that is a known file of ``files(repo, path, id)`` is meant (kind ``file``). Else a
+    workspace of ``workspaces(repo, name, dir)`` that is the spec or its first part (``feature``).
+    """
+    i = imports.filter(~F.startswith("spec", F.lit("."))).select("src", "repo", "spec").distinct()
+    heads = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.length("spec")), lambda n: F.substr(F.col("spec"), F.lit(1), n))))
+    a = i.select("*", F.explode(heads).alias("alias")).join(aliases.select("repo", "alias", "target"), ["repo", "alias"])
+    rest = F.ltrim(F.substr(F.col("spec"), F.length("alias") + 1), F.lit("/"))
+    base = F.rtrim(F.when(rest == "", F.col("target")).otherwise(F.concat_ws("/", "target", rest)), F.lit("/"))
+    whole = F.when(F.element_at(F.split(base, "/"), -1).rlike(r".\.[^.]+$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    tails = F.concat(whole, F.array(*map(F.lit, SCRIPT_TAILS)))
+    a = a.select("src", "repo", "spec", "alias", "target", base.alias("base"), F.posexplode(tails).alias("p", "tail"))
+    a = a.withColumn("path", F.concat("base", "tail")).join(files.select("repo", "path", "id"), ["repo", "path"])
+    first = F.min_by("id", F.struct((-F.length("alias")).alias("n"), "alias", "target", "p")).alias("target")
+    as_file = a.groupBy("src", "spec").agg(first).select("src", "spec", F.lit("file").alias("kind"), "target")
+    ways = F.transform(F.sequence(F.lit(1), F.size(F.split("spec", "/"))), lambda n: F.array_join(F.slice(F.split("spec", "/"), 1, n), "/"))
+    w = i.join(as_file, ["src", "spec"], "left_anti").select("src", "repo", "spec", F.explode(ways).alias("name")).join(workspaces.select("repo", "name"), ["repo", "name"])
+    return as_file.unionAll(w.groupBy("src", "spec").agg(F.min("name").alias("target")).select("src", "spec", F.lit("feature").alias("kind"), "target"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``(src, target)``: the known file a dotted module or a relative or aliased path means, by order of candidates.
 

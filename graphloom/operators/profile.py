@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import tokenize
+
 
 def top_per_group(counts: DataFrame, group: list[str], n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each group; Spark cuts each task's rows to n before it deals them out."""
@@ -85,15 +87,31 @@ def ui_labels(text: Column, pattern: str = "[가-힣]{2,}") -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def stratified_sample(rows: DataFrame, strata: list[str], share: float, seed: int, key: str) -> DataFrame:
-    """max(1, round(share * size)) rows of each stratum, chosen by md5 of seed and key."""
-    size = rows.groupBy(*strata).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share + 0.5)).alias("take"))
+def stratified_sample(rows: DataFrame, strata: list[str], size: int, seed: int, key: str) -> DataFrame:
+    """About ``size`` rows: max(1, round(size * stratum / all)) of each stratum (halves to even), chosen by md5 of seed and key."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    each = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
+    each = each.select(*strata, F.greatest(F.lit(1), F.bround(F.lit(float(size)) * F.col("n") / F.col("total"))).alias("take"))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     r = rows.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(draw, key)))
     on = F.lit(True)
     for c in strata:
         on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return r.alias("r").join(size.alias("s"), on).filter("place <= take").select("r.*")
+    return r.alias("r").join(each.alias("s"), on).filter("place <= take").select("r.*")
+
+
+def rank_within(scope: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
+    """``(query_id, place, id, score)``: of ``scope(query_id, id, kind, name, path, hop)`` what is nearest to ``asked(query_id, words)``.
+
+    Ten for each word that name or path has, twice that for functions, classes and files, less the
+    steps from the anchor; without words the score is 0. Ties by steps, then id.
+    """
+    s = scope.join(asked.select("query_id", F.array_distinct("words").alias("words")), "query_id")
+    has = F.size(F.array_intersect("words", F.array_distinct(F.concat(tokenize("name"), tokenize("path")))))
+    weight = F.when(F.col("kind").isin("function", "class", "file"), 2).otherwise(1)
+    score = F.when(F.size("words") == 0, 0).otherwise(has * 10 * weight - F.col("hop")).cast("double")
+    s = s.select("query_id", "id", "hop", score.alias("score"))
+    return top_per_group(s, ["query_id"], k, F.desc("score"), F.asc("hop"), F.asc("id")).select("query_id", "place", "id", "score")
 
 
 def retrieve_notes(notes: DataFrame, query: str, n: int = 5) -> DataFrame:

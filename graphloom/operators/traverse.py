@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import cut
@@ -77,9 +77,82 @@ def traversed_kinds(edges: DataFrame, reached: DataFrame, kinds: Sequence[str] =
     return e.join(inside, "src").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("kind")).alias("relations"))
 
 
-def trace_flow(edges: DataFrame, routes: DataFrame, depth: int = 3) -> DataFrame:
-    """``(id, distance, via)`` from routes over page files, what they import or contain, to endpoints."""
-    return bfs(edges, routes, ("route_of", "imports", "contains", "resolves_to"), "out", depth)
+def trace_flow(nodes: DataFrame, edges: DataFrame, routes: DataFrame, depth: int = 3) -> DataFrame:
+    """``(route, part, id)`` of each of ``routes(id)``: the files and features it leads over, its API calls and their endpoints.
+
+    A route leads to its page files (``route_of``); they are at no depth. From there it follows
+    ``imports`` into any known node and ``contains`` into files and calls only. Files and features
+    count when they are walked on from, so those first reached in the last of ``depth`` rounds do
+    not; a call is not walked on from, and only calls lead to endpoints (``resolves_to``).
+    """
+    kinds = cut(nodes.select("id", "kind"), "flow-kinds")
+    ends = kinds.select(F.col("id").alias("dst"), F.col("kind").alias("to"))
+    e = edges.filter(F.col("kind").isin("imports", "contains")).join(ends, "dst")
+    e = cut(e.filter((F.col("kind") == "imports") | F.col("to").isin("file", "api_call")).select("src", "dst", "to").distinct(), "flow-edges")
+    start = edges.filter("kind = 'route_of'").join(routes.select(F.col("id").alias("src")).distinct(), "src")
+    level = cut(start.select(F.col("src").alias("route"), F.col("dst").alias("id")).distinct(), "flow0")
+    seen, parts = level, []
+    for d in range(1, depth + 1):
+        known = level.join(kinds, "id")
+        parts.append(known.filter(F.col("kind").isin("file", "feature")).select("route", F.concat("kind", F.lit("s")).alias("part"), "id"))
+        ahead = known.select("route", F.col("id").alias("src")).join(e, "src").select("route", F.col("dst").alias("id"), "to").distinct()
+        fresh = cut(ahead.join(seen, ["route", "id"], "left_anti"), f"flow{d}")
+        calls = fresh.filter("to = 'api_call'").select("route", "id")
+        reached = edges.filter("kind = 'resolves_to'").select(F.col("src").alias("id"), "dst")
+        parts += [calls.select("route", F.lit("api_calls").alias("part"), "id"), calls.join(reached, "id").select("route", F.lit("endpoints").alias("part"), F.col("dst").alias("id"))]
+        level = fresh.filter("to <> 'api_call'").select("route", "id")
+        if fresh.isEmpty():
+            break
+        seen = seen.unionAll(fresh.select("route", "id"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out.distinct()
+
+
+def affected_routes(nodes: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 3, hops: int = 4) -> DataFrame:
+    """``(id, name)`` of the first ``most`` routes, as they were written, with a page that reaches a changed node."""
+    reached = bfs(edges, changed, TEST_KINDS, "in", hops).select(F.col("id").alias("dst"))
+    pages = edges.filter("kind = 'route_of'").join(reached, "dst", "left_semi").select(F.col("src").alias("id"))
+    return nodes.filter("kind = 'route'").join(pages, "id", "left_semi").orderBy("ord", "id").limit(most).select("id", "name")
+
+
+def hub_seeds(nodes: DataFrame, edges: DataFrame, most: int = 14) -> DataFrame:
+    """The known ones of the ``most`` nodes with the most edge ends: where an overview begins."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return ends.orderBy(F.desc("degree"), "id").limit(most).join(nodes.select("id"), "id", "left_semi").select("id")
+
+
+def retrieve_chain(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 6, hops: int = 2, weight: float = 0.5) -> DataFrame:
+    """``(query_id, rank, id, rrf, relations, hop)``: hits ``seeds(query_id, rank, id)`` with what they lead to.
+
+    The first ``k`` hits of a query are walked from over ``CHAIN_KINDS``. What an edge of the walk
+    leads to is ranked by its least number of steps, then id; a hit that another hit leads to is
+    ranked too. A node's score is 1 / (60 + place) among the hits plus ``weight`` / (60 + place)
+    along the walk, places from 0. Of the known nodes the first 4 ``k`` stay, ties by id. A node that
+    no edge led to has the relation ``seed`` and hop 0.
+    """
+    s = cut(seeds.filter(F.col("rank") <= k).select("query_id", "id", (F.col("rank") - 1).alias("place")), "chain-seeds")
+    e = cut(steps(edges, CHAIN_KINDS, "out").distinct(), "chain-edges")
+    level = s.select("query_id", "id").distinct()
+    seen, walked = level, None
+    for d in range(1, hops + 1):
+        step = level.withColumnRenamed("id", "src").join(e, "src").select("query_id", F.col("dst").alias("id"), "kind").distinct()
+        step = cut(step.withColumn("hop", F.lit(d)), f"chain{d}")
+        walked = step if walked is None else walked.unionAll(step)
+        level = cut(step.select("query_id", "id").distinct().join(seen, ["query_id", "id"], "left_anti"), f"chain-level{d}")
+        if level.isEmpty():
+            break
+        seen = seen.unionAll(level)
+    by_query = Window.partitionBy("query_id")
+    reached = walked.groupBy("query_id", "id").agg(F.min("hop").alias("hop"), F.array_sort(F.collect_set("kind")).alias("relations"))
+    reached = reached.withColumn("step", F.row_number().over(by_query.orderBy("hop", "id")) - 1)
+    both = reached.join(s, ["query_id", "id"], "full_outer").join(nodes.select("id"), "id", "left_semi")
+    score = F.coalesce(1 / (60 + F.col("place")), F.lit(0.0)) + F.coalesce(F.lit(weight) / (60 + F.col("step")), F.lit(0.0))
+    ranked = both.withColumn("score", F.round(score, 12)).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= 4 * k).select(
+        "query_id", "rank", "id", F.round("score", 5).alias("rrf"), F.coalesce("relations", F.array(F.lit("seed"))).alias("relations"), F.coalesce("hop", F.lit(0)).alias("hop")
+    )
 
 
 def domain_of(path: Column) -> Column:
@@ -96,16 +169,17 @@ def pagerank(
     Uniform start; the mass of nodes without outgoing edges is spread evenly each round;
     parallel edges of different kinds count separately.
     """
-    ids = nodes.select("id").distinct()
+    ids = cut(nodes.select("id").distinct(), "pagerank-ids")
     n = ids.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
     e = edges.filter(F.col("kind").isin(*kinds)).select("src", "dst")
     e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     share = e.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
-    e = cut(e.join(share, "src").select("src", "dst", "fan"), "pagerank-edges")
+    # dealt by source once; a round then shuffles one partial sum per task and node
+    e = cut(e.join(share, "src").select("src", "dst", "fan"), "pagerank-edges").repartition("src").persist()
     # a rank is base + damping * what came in; the ranks add up to 1, so what sinks hold is 1 less all that was sent
-    base, got = 1.0 / n, None
+    base, got, held = 1.0 / n, None, []
     for i in range(rounds):
         if got is None:
             rank = F.lit(base)
@@ -113,10 +187,18 @@ def pagerank(
         else:
             rank = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
             sent = e.join(got.withColumnRenamed("id", "src"), "src", "left")
-        sums = Observation()
         new = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(rank / F.col("fan")).alias("got"))
-        got = cut(new.observe(sums, F.coalesce(F.sum("got"), F.lit(0.0)).alias("all")), f"pagerank{i + 1}")
-        base = (1 - damping) / n + damping * (1 - sums.get["all"]) / n
+        # a table now and then keeps the lineage of what is cached short
+        new = cut(new, f"pagerank{i + 1}") if i % 5 == 4 or i == rounds - 1 else new.persist()
+        held.append(new)
+        base = (1 - damping) / n + damping * (1 - (new.agg(F.sum("got")).first()[0] or 0.0)) / n
+        got = new
+        if i % 5 == 4:
+            for old in held[:-1]:
+                old.unpersist()
+            held = held[-1:]
+    for old in [e, *held]:
+        old.unpersist()
     if got is None:
         return ids.withColumn("rank", F.lit(base))
     return ids.join(got, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
@@ -129,22 +211,26 @@ def centrality(ranks: DataFrame) -> DataFrame:
     return ranks.crossJoin(F.broadcast(top)).select("id", value.alias("centrality"))
 
 
-def reading_levels(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+def reading_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(id, level)`` by layered topological order over ``imports``: what imports nothing comes first.
 
-    A node's level is the longest chain of imports below it. Nodes on or above a cycle have no
-    level (null).
+    A node's level is the longest chain of imports below it, however long. Nodes on or above a
+    cycle have no level (null). One round a level; only edges between open nodes go on.
     """
-    e = edges.filter(F.col("kind") == "imports").select("src", "dst").distinct()
-    left = cut(nodes.select("id"), "levels")
-    done = None
-    for level in range(rounds):
-        blocked = e.join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        ready = cut(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)), "levels-ready")
+    e = cut(edges.filter(F.col("kind") == "imports").select("src", "dst").distinct(), "levels-edges")
+    left = cut(nodes.select("id").distinct(), "levels")
+    e = cut(e.join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "levels-edges")
+    done, level = None, 0
+    while True:
+        ready = cut(left.join(e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "levels-ready")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionAll(ready)
+        if level % 20 == 19:  # a plan of few parts however many levels
+            done = cut(done, "levels-done")
         left = cut(left.join(ready.select("id"), "id", "left_anti"), "levels-left")
+        e = cut(e.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "levels-edges")
+        level += 1
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionAll(rest)
 
@@ -156,10 +242,14 @@ def reading_order(nodes: DataFrame, edges: DataFrame, limit: int = 30) -> list[s
     (thousands of rows) are gathered on the driver for it.
     """
     files = sorted(r[0] for r in nodes.filter(F.col("kind") == "file").select("id").collect())
-    known = set(files)
-    pairs = {(r[0], r[1]) for r in edges.filter(F.col("kind") == "imports").select("src", "dst").collect() if r[0] in known and r[1] in known and r[0] != r[1]}
-    needs = {f: {d for s, d in pairs if s == f} for f in files}
-    users = {f: {s for s, d in pairs if d == f} for f in files}
+    needs: dict[str, set[str]] = {f: set() for f in files}
+    users: dict[str, set[str]] = {f: set() for f in files}
+    inside = edges.filter("kind = 'imports' and src <> dst").select("src", "dst")
+    own = nodes.filter(F.col("kind") == "file").select("id")
+    inside = inside.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    for src, dst in inside.select("src", "dst").distinct().collect():
+        needs[src].add(dst)
+        users[dst].add(src)
     weight = {f: len(needs[f]) + len(users[f]) for f in files}
     order: list[str] = []
     ready = sorted((f for f in files if not needs[f]), key=lambda f: (-len(users[f]), f))
@@ -173,6 +263,7 @@ def reading_order(nodes: DataFrame, edges: DataFrame, limit: int = 30) -> list[s
             if not open_needs[u]:
                 freed.append(u)
         ready += freed
-    order += sorted((f for f in files if f not in set(order)), key=lambda f: (-weight[f], f))
+    placed = set(order)
+    order += sorted((f for f in files if f not in placed), key=lambda f: (-weight[f], f))
     top = set(sorted(files, key=lambda f: (-weight[f], f))[:limit])
     return [f for f in order if f in top]

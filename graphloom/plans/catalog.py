@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graphs, linking, logs, retrieval
+from graphloom.plans import graphs, linking, logs, retrieval, site
 
-QUERIES = {**graphs.QUERIES, **retrieval.QUERIES, **linking.QUERIES, **logs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**graphs.ORACLE_SQL, **retrieval.ORACLE_SQL, **linking.ORACLE_SQL, **logs.ORACLE_SQL}
+QUERIES = {**graphs.QUERIES, **retrieval.QUERIES, **linking.QUERIES, **logs.QUERIES, **site.QUERIES}
+ORACLE_SQL: dict[str, str] = {**graphs.ORACLE_SQL, **retrieval.ORACLE_SQL, **linking.ORACLE_SQL, **logs.ORACLE_SQL, **site.ORACLE_SQL}
 FLAGSHIP = "bm25_topk"

@@ -60,11 +60,6 @@ def anchor_expand(spark: SparkSession, d: str) -> DataFrame:
     return traverse.expand(g.edges, spark.createDataFrame([("r:1",), ("o:1",)], "id string"), 3, None)
 
 
-def trace_flow(spark: SparkSession, d: str) -> DataFrame:
-    g = trade_graph(spark, d)
-    return traverse.trace_flow(g.edges, spark.createDataFrame([("r:2",)], "id string"), 2)
-
-
 def subgraph_induced(spark: SparkSession, d: str) -> DataFrame:
     """Edges among the nearest 200 nodes around one nation."""
     g = trade_graph(spark, d)
@@ -156,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_stats, graph_by_repo, graph_merge_dedup, degree_top, neighbors, repo_pair_weights, impact_bfs, affected_set, anchor_expand,
-        trace_flow, subgraph_induced, chain_relations, dangling_orphans, pagerank, centrality, reading_levels, overlay_apply,
+        subgraph_induced, chain_relations, dangling_orphans, pagerank, centrality, reading_levels, overlay_apply,
         incremental_equals_full, digest_diff,
     )
 }
@@ -218,8 +213,6 @@ ORACLE_SQL = {
         SELECT id, distance FROM found WHERE id LIKE 'o:%'""",
     "anchor_expand": f"""WITH RECURSIVE {GRAPH_SQL}, {_bfs_sql("'r:1', 'o:1'", "'contains', 'imports', 'resolves_to'", 3)}
         {_VIA.format(kinds="'contains', 'imports', 'resolves_to'")}""",
-    "trace_flow": f"""WITH RECURSIVE {GRAPH_SQL}, {_bfs_sql("'r:2'", "'contains', 'imports', 'resolves_to'", 2)}
-        {_VIA.format(kinds="'contains', 'imports', 'resolves_to'")}""",
     "subgraph_induced": f"""WITH RECURSIVE {GRAPH_SQL}, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
         walk(id, distance) AS (SELECT 'n:5', 0 UNION SELECT b.dst, w.distance + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.distance < 2),
         near AS (SELECT id, min(distance) AS d FROM walk GROUP BY id ORDER BY d, id LIMIT 200)

@@ -19,8 +19,9 @@ def domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers in paths written as parameters, then normalised."""
-    p = _pages(spark, d).withColumn("call", F.concat(F.regexp_replace("path", r"\d+", ":id"), F.lit("?q=1")))
+    """Numbers in paths written as parameters, and segments that hold templates, wildcards or slots, then normalised."""
+    made = F.element_at(F.array(*map(F.lit, ("/user${id}/x", "/a*b/y", "/z{k}", "/q[slug]/", "/${a}${b}", "/:n", "/plain"))), (F.col("page_id") % 7 + 1).cast("int"))
+    p = _pages(spark, d).withColumn("call", F.concat(F.regexp_replace("path", r"\d+", ":id"), made, F.lit("?q=1")))
     return p.groupBy(text.normalize_url("call").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -47,7 +48,7 @@ def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def calls_unique(spark: SparkSession, d: str) -> DataFrame:
     """Orders call part brands; a part defines its brand, within its size class, and orders of the same number are its file."""
-    calls = read(spark, d, "lineitem").filter("l_orderkey % 20 = 1").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    calls = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     calls = calls.select(F.concat(F.lit("f"), F.col("l_orderkey") % 50).alias("file"), (F.col("p_size") % 4).cast("string").alias("repo"), F.concat("p_brand", F.col("p_partkey") % 40).alias("name"))
     defs = read(spark, d, "part").select(F.concat(F.lit("d"), "p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_partkey") % 50).alias("file"), (F.col("p_size") % 4).cast("string").alias("repo"), F.concat("p_brand", F.col("p_partkey") % 40).alias("name"))
     return link.link_calls(calls, defs)
@@ -97,7 +98,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     made = F.concat_ws(" ", F.lit("See /chat/"), F.concat("role", F.lit(".py")), F.lit("and snake_case_name or CamelCaseName at /admin/users"), "text")
     m = c.select("conv_id", "turn", text.mentions(made).alias("m"))
-    j = lambda a: F.array_join(F.slice(F.col(a), 1, 3), "|")
+    j = lambda a: F.array_join(a, "|")
     return m.select("conv_id", "turn", j("m.routes").alias("routes"), j("m.files").alias("files"), j("m.symbols").alias("symbols"))
 
 
@@ -112,7 +113,12 @@ def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("clone https://bob:pw"), F.col("page_id").cast("string"), F.lit("@"), text.host_of("url"), F.lit(" with ghp_abcdefghijklmnop end")).alias("t"))
+    """Passwords and tokens in URLs of several schemes, and bare tokens of every issuer, one of them too short to be one."""
+    tokens = ("glpat-", "gldt-", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "sk-", "xoxb-")
+    token = F.concat(F.element_at(F.array(*map(F.lit, tokens)), (F.col("page_id") % 9 + 1).cast("int")), F.when(F.col("page_id") % 10 == 0, "abcdefg").otherwise("Abcdef-8"))
+    scheme = F.when(F.col("page_id") % 2 == 0, "ssh").otherwise("git+https")
+    who = F.when(F.col("page_id") % 3 == 0, "bob:p/w" ).otherwise("tok3n")
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("clone "), scheme, F.lit("://"), who, F.lit("@"), text.host_of("url"), F.lit(" by "), token, F.lit(" or a_"), token).alias("t"))
     return p.select("page_id", text.mask_secrets("t").alias("masked"))
 
 
@@ -152,31 +158,32 @@ def call_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learn_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("source").alias("area"), F.substring("text", 1, 200).alias("note"), F.col("doc_id").alias("ts"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("area"), F.col("text").alias("note"), F.col("doc_id").alias("ts"))
     return profile.retrieve_notes(docs, "the license and security error", 5).select("area", "ts", "score")
 
 
 def learn_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.col("source").alias("area"), F.substring("text", 1, 12).alias("note"), "doc_id")
+    docs = read(spark, d, "documents").select(F.col("source").alias("area"), F.col("text").alias("note"), "doc_id")
     new = evolve.append_new(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"))
     return new.groupBy("area").agg(F.count(F.lit(1)).alias("fresh"))
 
 
 def ambiguous(spark: SparkSession, d: str) -> DataFrame:
-    cases = read(spark, d, "documents").groupBy(F.substring("text", 1, 3).alias("title"), "lang").agg(F.collect_set("source").alias("files"))
+    cases = read(spark, d, "documents").groupBy(F.get(F.split("text", "[ \n]+"), F.lit(0)).alias("title"), "lang").agg(F.collect_set("source").alias("files"))
     return evaluate.ambiguous_titles(cases)
 
 
 def exclusions(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    title = F.concat(F.when(F.col("doc_id") % 9 == 0, "Merge ").otherwise(""), F.get(F.split("text", "\n"), F.lit(0)))
-    why = evaluate.exclusion(F.col("source") != "src3", F.col("doc_id") % 10 == 4, title)
+    heads = F.array(*map(F.lit, ("Merge branch ", "merge the ", "[Release] ", "release: ", "release note ", "Revert ", "reverted ", "develop -> STG ", " ", "")))
+    title = F.concat(F.element_at(heads, (F.col("doc_id") % 10 + 1).cast("int")), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 9))
+    why = evaluate.exclusion(title, F.col("doc_id") % 7 == 4, F.col("source") != "src3", F.col("doc_id") % 6 != 5)
     return docs.groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stratified(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "lang", "source")
-    return profile.stratified_sample(docs, ["lang", "source"], 0.1, 42, "doc_id")
+    return profile.stratified_sample(docs, ["lang", "source"], 150, 42, "doc_id")
 
 
 def budget_take(spark: SparkSession, d: str) -> DataFrame:
@@ -201,14 +208,14 @@ QUERIES = {
 _PAGES = """pg AS (SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path, host FROM (
     SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1) AS p, regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)', 1) AS host FROM pages))"""
 _SEGS = "list_filter(string_split({x}, '/'), lambda s: s <> '')"
-_NORM = "'/' || array_to_string(list_transform(list_filter(string_split(string_split({x}, '?')[1], '/'), lambda s: s <> ''), lambda s: CASE WHEN contains(s, '${{') OR starts_with(s, ':') OR starts_with(s, '{{') OR starts_with(s, '[') THEN '*' ELSE s END), '/')"
+_NORM = "'/' || array_to_string(list_transform(list_filter(string_split(string_split({x}, '?')[1], '/'), lambda s: s <> ''), lambda s: CASE WHEN starts_with(s, ':') OR regexp_matches(s, '[*{{\\[]') THEN '*' ELSE s END), '/')"
 _HINTS = {k: "[" + ", ".join(f"'{h}'" for h in v) + "]" for k, v in text.INTENT_HINTS.items()}
 _COUNT = "len(list_filter({h}, lambda h: contains(t, h)))"
 
 ORACLE_SQL = {
     "domains": f"""WITH {_PAGES}, s AS (SELECT {_SEGS.format(x="path")}[1] AS h FROM pg)
         SELECT CASE WHEN h IS NULL THEN 'root' WHEN starts_with(h, '[') OR starts_with(h, '(') THEN 'dynamic' ELSE h END AS domain, count(*) AS pages FROM s GROUP BY 1""",
-    "normalize_urls": f"""WITH {_PAGES}, c AS (SELECT regexp_replace(path, '[0-9]+', ':id', 'g') || '?q=1' AS c FROM pg) SELECT {_NORM.format(x="c")} AS path, count(*) AS n FROM c GROUP BY 1""",
+    "normalize_urls": f"""WITH {_PAGES}, c AS (SELECT regexp_replace(path, '[0-9]+', ':id', 'g') || (['/user${{id}}/x', '/a*b/y', '/z{{k}}', '/q[slug]/', '/${{a}}${{b}}', '/:n', '/plain'])[page_id % 7 + 1] || '?q=1' AS c FROM pg) SELECT {_NORM.format(x="c")} AS path, count(*) AS n FROM c GROUP BY 1""",
     "hosts": f"""WITH {_PAGES} SELECT host, array_to_string(list_slice(string_split(path, '/'), 1, 3), '/') AS area,
         rtrim(substr(regexp_replace(regexp_replace(lower(path), '[^0-9a-z가-힣]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-') AS slug, count(*) AS n FROM pg GROUP BY ALL""",
     "api_link": f"""WITH {_PAGES}, n AS (SELECT page_id, regexp_replace(path, '[0-9]+', ':id', 'g') AS p, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method FROM pg),
@@ -221,7 +228,7 @@ ORACLE_SQL = {
     "longest_prefix": f"""WITH {_PAGES}, p AS (SELECT page_id AS id, host || path AS path FROM pg),
         r AS (SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS prefix FROM p WHERE id % 4 = 0 UNION SELECT string_split(path, '/')[1] FROM p)
         SELECT id AS call, arg_max(prefix, length(prefix)) AS prefix FROM p JOIN r ON prefix <> '' AND (path = prefix OR starts_with(path, prefix || '/')) GROUP BY id""",
-    "calls_unique": """WITH c AS (SELECT DISTINCT 'f' || l_orderkey % 50 AS file, (p_size % 4)::VARCHAR AS repo, p_brand || p_partkey % 40 AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 1),
+    "calls_unique": """WITH c AS (SELECT DISTINCT 'f' || l_orderkey % 50 AS file, (p_size % 4)::VARCHAR AS repo, p_brand || p_partkey % 40 AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
         f AS (SELECT 'd' || p_partkey AS id, 'f' || p_partkey % 50 AS home, (p_size % 4)::VARCHAR AS repo, p_brand || p_partkey % 40 AS name FROM part),
         s AS (SELECT file, repo, name, id FROM c JOIN f USING (repo, name) WHERE file = home),
         u AS (SELECT repo, name, min(id) AS id, min(home) AS home FROM f GROUP BY ALL HAVING count(*) = 1)
@@ -247,15 +254,18 @@ ORACLE_SQL = {
         SELECT query_id, fragment, id FROM h WHERE n <= 8""",
     "mentions": """WITH m AS (SELECT conv_id, turn, 'See /chat/ ' || role || '.py and snake_case_name or CamelCaseName at /admin/users ' || text AS t FROM conversations)
         SELECT conv_id, turn,
-            array_to_string(list_slice(list_transform(regexp_extract_all(t, '(?i)(?:^|[^\\pL\\pM\\pN_/])(/[a-z0-9][\\pL\\pM\\pN_\\-/\\[\\]]*)', 1), lambda r: CASE WHEN rtrim(r, '/') = '' THEN '/' ELSE rtrim(r, '/') END), 1, 3), '|') AS routes,
-            array_to_string(list_slice(regexp_extract_all(t, '(?i)[\\pL\\pM\\pN_\\-]+\\.(?:py|tsx?|jsx?|rs|vue|svelte|go|java|rb)\\b'), 1, 3), '|') AS files,
-            array_to_string(list_slice(list_filter(string_split_regex(t, '[^\\pL\\pM\\pN_]+'), lambda w: regexp_full_match(w, '[a-z]+(_[a-z0-9]+)+|[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+')), 1, 3), '|') AS symbols
+            array_to_string(list_transform(regexp_extract_all(t, '(?i)(?:^|[^\\pL\\pM\\pN_/])(/[a-z0-9][\\pL\\pM\\pN_\\-/\\[\\]]*)', 1), lambda r: CASE WHEN rtrim(r, '/') = '' THEN '/' ELSE rtrim(r, '/') END), '|') AS routes,
+            array_to_string(regexp_extract_all(t, '(?i)[\\pL\\pM\\pN_\\-]+\\.(?:py|tsx?|jsx?|rs|vue|svelte|go|java|rb)\\b'), '|') AS files,
+            array_to_string(list_filter(string_split_regex(t, '[^\\pL\\pM\\pN_]+'), lambda w: regexp_full_match(w, '[a-z]+(_[a-z0-9]+)+|[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+')), '|') AS symbols
         FROM m""",
     "intent": f"""WITH c AS (SELECT lower(text || (['' || ' fix it', ' add this', ' why?', ' 삭제 수정', ''])[conv_id % 5 + 1]) AS t FROM conversations WHERE role = 'user'),
         s AS (SELECT {_COUNT.format(h=_HINTS["bug"])} AS b, {_COUNT.format(h=_HINTS["feature"])} AS f, {_COUNT.format(h=_HINTS["refactor"])} AS r, {_COUNT.format(h=_HINTS["question"])} AS q FROM c)
         SELECT CASE WHEN greatest(b, f, r) = 0 OR greatest(b, f, r) < q THEN 'question' WHEN b = greatest(b, f, r) THEN 'bug' WHEN f = greatest(b, f, r) THEN 'feature' ELSE 'refactor' END AS intent, count(*) AS n FROM s GROUP BY 1""",
     "cost_estimate": "SELECT role, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY role",
-    "mask_secrets": f"WITH {_PAGES} SELECT page_id, 'clone https://***@' || host || ' with *** end' AS masked FROM pg",
+    "mask_secrets": f"""WITH {_PAGES}, t AS (SELECT *, (['glpat-', 'gldt-', 'ghp_', 'gho_', 'ghu_', 'ghs_', 'github_pat_', 'sk-', 'xoxb-'])[page_id % 9 + 1] AS mark FROM pg),
+        k AS (SELECT *, CASE WHEN page_id % 10 = 0 THEN 'abcdefg' ELSE 'Abcdef-8' END AS secret FROM t)
+        SELECT page_id, 'clone ' || CASE WHEN page_id % 2 = 0 THEN 'ssh' ELSE 'git+https' END || '://' || CASE WHEN page_id % 3 = 0 THEN 'bob:' ELSE '' END || '***@' || host
+            || ' by ' || mark || CASE WHEN page_id % 10 = 0 THEN secret ELSE '***' END || ' or a_' || mark || secret AS masked FROM k""",
     "quality_score": """WITH o AS (SELECT count(DISTINCT l_partkey) AS f, sum(l_quantity) * 3 AS l, bool_or(l_returnflag = 'R') AS t FROM lineitem GROUP BY l_orderkey)
         SELECT round(least(1.0::DOUBLE, 0.6::DOUBLE + CASE WHEN f <= 5 THEN 0.2 ELSE 0 END + CASE WHEN l <= 400 THEN 0.1 ELSE 0 END + CASE WHEN t THEN 0.1 ELSE 0 END), 6) AS score, count(*) AS n FROM o GROUP BY 1""",
     "repo_profile": """WITH v AS (SELECT lang AS repo, lower(string_split_regex(text, '[ \n.,]+')[1]) AS name, source || '/' || doc_id % 3 AS folder FROM documents),
@@ -269,20 +279,20 @@ ORACLE_SQL = {
         SELECT id, row_number() OVER (PARTITION BY id ORDER BY c DESC, length(word) DESC, word) AS place, word, c FROM c QUALIFY place <= 3""",
     "call_names": """SELECT regexp_replace(p_type, '[^A-Za-z]+', '_', 'g') AS name, count(*) AS n FROM part GROUP BY 1
         UNION ALL SELECT unnest(['go', 'real', 'inner']), (SELECT count(*) FROM part)""",
-    "learn_retrieve": """WITH n AS (SELECT source AS area, doc_id AS ts, lower(source || ' ' || substr(text, 1, 200)) AS t, substr(text, 1, 200) AS note FROM documents),
+    "learn_retrieve": """WITH n AS (SELECT source AS area, doc_id AS ts, lower(source || ' ' || text) AS t, text AS note FROM documents),
         s AS (SELECT *, len(list_filter(['the', 'license', 'and', 'security', 'error'], lambda w: contains(t, w)))::INT AS score FROM n)
         SELECT area, ts, score FROM s WHERE score > 0 ORDER BY score DESC, ts DESC, note LIMIT 5""",
-    "learn_dedup": """WITH n AS (SELECT trim(regexp_replace(lower(source), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(substr(text, 1, 12)), '\\s+', ' ', 'g')) AS n, source, doc_id FROM documents),
+    "learn_dedup": """WITH n AS (SELECT trim(regexp_replace(lower(source), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS n, source, doc_id FROM documents),
         f AS (SELECT DISTINCT a, n FROM n WHERE doc_id % 2 = 1 EXCEPT SELECT a, n FROM n WHERE doc_id % 2 = 0)
         SELECT a AS area, count(*) AS fresh FROM f GROUP BY 1""",
-    "ambiguous": """WITH c AS (SELECT substr(text, 1, 3) AS title, lang, list_sort(list(DISTINCT source)) AS files FROM documents GROUP BY ALL)
+    "ambiguous": """WITH c AS (SELECT string_split_regex(text, '[ \n]+')[1] AS title, lang, list_sort(list(DISTINCT source)) AS files FROM documents GROUP BY ALL)
         SELECT title, count(DISTINCT files) AS n FROM c GROUP BY 1 HAVING count(DISTINCT files) > 1""",
-    "exclusions": """WITH d AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'Merge ' ELSE '' END || string_split(text, chr(10))[1] AS title FROM documents)
-        SELECT CASE WHEN source = 'src3' THEN 'unindexed' WHEN doc_id % 10 = 4 THEN 'ambiguous'
-            WHEN regexp_matches(title, '(?i)^\\s*(merge\\b|revert\\b|bump\\b|release\\b|chore\\b|wip\\b|hotfix merge|sync\\b|version\\b|v?\\d+\\.\\d+)') THEN 'bookkeeping'
-            WHEN length(trim(title)) < 15 THEN 'short' ELSE 'kept' END AS reason, count(*) AS n FROM d GROUP BY 1""",
+    "exclusions": """WITH d AS (SELECT *, doc_id % 10 AS k, (['Merge branch ', 'merge the ', '[Release] ', 'release: ', 'release note ', 'Revert ', 'reverted ', 'develop -> STG ', ' ', ''])[doc_id % 10 + 1]
+            || substr(string_split(text, chr(10))[1], 1, 9) AS title FROM documents)
+        SELECT CASE WHEN k IN (0, 2, 3, 5, 7) THEN 'bookkeeping' WHEN length(title) < 15 THEN 'short' WHEN doc_id % 7 = 4 THEN 'ambiguous' WHEN source = 'src3' THEN 'unindexed'
+            WHEN doc_id % 6 = 5 THEN 'unexpanded' ELSE 'kept' END AS reason, count(*) AS n FROM d GROUP BY 1""",
     "stratified": """WITH d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('42:' || doc_id), doc_id) AS place, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
-        SELECT doc_id, lang, source, place FROM d WHERE place <= greatest(1, floor(n * 0.1::DOUBLE + 0.5))""",
+        SELECT doc_id, lang, source, place FROM d WHERE place <= greatest(1, round_even(150::DOUBLE * n / (SELECT count(*) FROM documents), 0))""",
     "budget_take": """WITH d AS (SELECT source, doc_id, sum(n_chars) OVER w AS used, row_number() OVER w AS p FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
         SELECT source, doc_id, used::BIGINT AS used FROM d WHERE used <= 12000 OR p = 1""",
     "failures": f"""WITH {_PAGES}, p AS (SELECT ltrim(path, '/') AS path, page_id FROM pg)

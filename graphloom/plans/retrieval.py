@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import has_tokens, tokenize
 from graphloom.operators import evaluate, fuse, profile, rank
 from graphloom.plans.scratch import cut, spread
-from graphloom.plans.tables import TOKENS_SQL, read, trade_graph
+from graphloom.plans.tables import GRAPH_SQL, TOKENS_SQL, read, trade_graph
 
 TEXT_ONLY = {"text": 1}
 
@@ -29,7 +29,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = spread(read(spark, d, "documents")), read(spark, d, "labels")
     kind = F.when(F.col("doc_id") % 3 == 0, "function").when(F.col("doc_id") % 3 == 1, "file").otherwise("feature")
     first = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 2), " ")
-    n = docs.select(F.col("doc_id").alias("id"), kind.alias("kind"), first.alias("name"), F.concat("lang", F.lit("-store")).alias("repo"), F.col("source").alias("path"), F.substring("text", 1, 400).alias("summary"))
+    n = docs.select(F.col("doc_id").alias("id"), kind.alias("kind"), first.alias("name"), F.concat("lang", F.lit("-store")).alias("repo"), F.col("source").alias("path"), F.col("text").alias("summary"))
     return n.join(labels.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("deprecated")), "id", "left")
 
 
@@ -74,7 +74,7 @@ def metrics_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Recall and mean reciprocal rank against documents that hold the first 60 characters of a passage."""
     docs, q = _docs(spark, d), _questions(spark, d)
     heads = q.select("query_id", F.substring("text", 1, 60).alias("head"))
-    truth = docs.join(F.broadcast(heads), F.col("text").contains(F.col("head"))).select("query_id", F.col("id").alias("key"))
+    truth = evaluate.holders(docs, heads).withColumnRenamed("id", "key")
     found = bm25(docs, q, 10).select("query_id", "rank", F.col("id").alias("key"))
     m = evaluate.retrieval_metrics(found, truth, 10)
     return m.select("queries", *(F.round(c, 6).alias(c) for c in ("r_at_1", "r_at_10", "mrr")))
@@ -84,7 +84,8 @@ def coverage_files(spark: SparkSession, d: str) -> DataFrame:
     """How far ten hits cover the sources of the true documents."""
     docs, q = spread(read(spark, d, "documents")), _questions(spark, d)
     heads = q.select("query_id", F.substring("text", 1, 60).alias("head"))
-    truth = docs.join(F.broadcast(heads), F.col("text").contains(F.col("head"))).groupBy("query_id").agg(F.collect_set("source").alias("files"))
+    held = evaluate.holders(docs.select(F.col("doc_id").alias("id"), "text"), heads)
+    truth = held.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("query_id").agg(F.collect_set("source").alias("files"))
     hits = bm25(docs.select(F.col("doc_id").alias("id"), "text"), q, 10).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
     c = evaluate.coverage(hits.groupBy("query_id").agg(F.collect_set("source").alias("files")), truth)
     return c.select(F.round("mean_recall", 6).alias("mean_recall"), F.round("fully_covered", 6).alias("fully_covered"))
@@ -102,7 +103,7 @@ def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
 def bm25_priors(spark: SparkSession, d: str) -> DataFrame:
     """Search over weighted fields with kind, test and repository priors, deprecated nodes left out."""
     index = rank.Index.build(_nodes(spark, d))
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("fr "), F.substring("text", 1, 80))).otherwise(F.substring("text", 1, 80)).alias("text"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("fr "), "text")).otherwise(F.col("text")).alias("text"))
     return rank.search(index, q, 10, prefixes=False, digits=6).select("query_id", "rank", "id", "score")
 
 
@@ -113,7 +114,7 @@ def token_exclusivity(spark: SparkSession, d: str) -> DataFrame:
 
 def lexicon_pmi(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(read(spark, d, "documents"))
-    words = F.slice(tokenize("text"), 1, 20)
+    words = F.array_distinct(tokenize("text"))
     bags = cut(docs.select(F.col("doc_id").alias("id"), words.alias("words"), F.array("lang", "source").alias("terms")), "bags")
     learned = profile.lexicon(bags, 5)
     return learned.select("word", "term", "n", F.round("pmi", 6).alias("pmi"))
@@ -162,7 +163,7 @@ def landing(spark: SparkSession, d: str) -> DataFrame:
 
 def companion_votes(spark: SparkSession, d: str) -> DataFrame:
     """Parts that stand in orders with a landed part, by the number of shipping modes that link them."""
-    items = read(spark, d, "lineitem").filter("l_orderkey % 10 = 1").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("kind")).distinct()
+    items = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("kind")).distinct()
     two = items.alias("a").join(items.alias("b"), "l_orderkey").filter("a.l_partkey < b.l_partkey")
     links = two.select(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b"), F.col("a.kind").alias("kind"))
     landed = read(spark, d, "part").filter("p_partkey <= 20").select((F.col("p_partkey") % 4).alias("query_id"), F.col("p_partkey").alias("path"), F.floor(F.col("p_partkey") / 4).alias("pos"))
@@ -170,13 +171,12 @@ def companion_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by how many words they share with a request, twice as much for some kinds, less their distance."""
-    docs = read(spark, d, "documents")
-    asked = F.array(*map(F.lit, ("the", "and", "la", "die", "with", "license")))
-    hits = F.size(F.array_intersect(F.array_distinct(tokenize("text")), asked))
-    score = hits * 10 * F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1) - F.col("doc_id") % 5
-    s = docs.select("source", "doc_id", score.cast("long").alias("score"))
-    return profile.top_per_group(s, ["source"], 5, F.desc("score"), F.asc("doc_id")).select("source", "place", "doc_id", "score")
+    """Documents of a source by how many words they share with a request, twice as much for functions, less their distance."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "function").otherwise("feature")
+    scope = read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), kind.alias("kind"), F.col("text").alias("name"), F.lit("").alias("path"), (F.col("doc_id") % 5).alias("hop"))
+    asked = scope.select("query_id").distinct().withColumn("words", F.array(*map(F.lit, ("the", "and", "la", "die", "with", "license"))))
+    s = profile.rank_within(scope, asked, 5)
+    return s.select(F.col("query_id").alias("source"), "place", F.col("id").alias("doc_id"), F.col("score").cast("long").alias("score"))
 
 
 def deprecated_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def graph_search(spark: SparkSession, d: str) -> DataFrame:
     g = trade_graph(spark, d)
     nodes = g.nodes.filter("kind in ('nation', 'region', 'supplier')").select("id", "kind", "name", "repo")
     q = spark.createDataFrame([(1, "nation"), (2, "supplier 1"), (3, "europe"), (4, "ASIA")], "query_id int, text string")
-    hits = rank.search(rank.Index.build(nodes), q, 5)
+    hits = rank.search(rank.Index.build(nodes), q, 5, digits=6)
     return hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
 
 
@@ -218,7 +218,7 @@ _TRUTH = """truth AS (SELECT DISTINCT item_id AS query_id, doc_id AS id, source
 _NODES = """nodes AS (
         SELECT d.doc_id AS id, CASE d.doc_id % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'file' ELSE 'feature' END AS kind,
                array_to_string(list_slice(string_split_regex(text, '[ \n]+'), 1, 2), ' ') AS name, lang || '-store' AS repo, source AS path,
-               substr(text, 1, 400) AS summary, coalesce(toxic = 1, false) AS deprecated
+               text AS summary, coalesce(toxic = 1, false) AS deprecated
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _TERMS = f"""bag AS (
         SELECT id, 3 AS w, unnest({_TOK(x="name")}) AS term FROM nodes UNION ALL SELECT id, 2, unnest({_TOK(x="path")}) FROM nodes
@@ -260,7 +260,7 @@ ORACLE_SQL = {
         m AS (SELECT * FROM e UNION SELECT * FROM l UNION SELECT * FROM s)
         SELECT token, term, round(length(token)::DOUBLE / length(term), 6) AS fidelity FROM m""",
     "bm25_priors": f"""WITH {_NODES}, {_TERMS},
-        qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'fr ' || substr(text, 1, 80) ELSE substr(text, 1, 80) END AS text FROM benchmark),
+        qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'fr ' || text ELSE text END AS text FROM benchmark),
         q0 AS (SELECT query_id, lower(trim(text)) AS needle, list_filter({_TOK(x="text")}, lambda w: NOT list_contains(string_split('{_STOP}', ' '), w)) AS ts FROM qs),
         q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(ts) AS term FROM q0) GROUP BY ALL),
         n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM p),
@@ -282,7 +282,7 @@ ORACLE_SQL = {
     "token_exclusivity": f"""WITH {_NODES}, {_TERMS}, rt AS (SELECT DISTINCT repo, unnest({_TOK(x="repo")}) AS token FROM (SELECT DISTINCT repo FROM nodes))
         SELECT p.term AS token, round(avg(CASE WHEN r.repo IS NULL THEN 0 ELSE 1.0::DOUBLE END), 6) AS exclusivity
         FROM p JOIN nodes USING (id) LEFT JOIN rt r ON r.token = p.term AND r.repo = nodes.repo WHERE p.term IN (SELECT token FROM rt) GROUP BY 1""",
-    "lexicon_pmi": f"""WITH b AS (SELECT doc_id AS id, list_distinct(list_slice({_TOK(x="text")}, 1, 20)) AS words, list_distinct([lang, source]) AS terms FROM documents),
+    "lexicon_pmi": f"""WITH b AS (SELECT doc_id AS id, list_distinct({_TOK(x="text")}) AS words, list_distinct([lang, source]) AS terms FROM documents),
         p AS (SELECT * FROM b WHERE len(words) > 0), w AS (SELECT id, unnest(words) AS word FROM p), t AS (SELECT id, unnest(terms) AS term FROM p),
         x AS (SELECT word, term, count(*) AS n FROM w JOIN t USING (id) GROUP BY ALL HAVING count(*) >= 5),
         y AS (SELECT x.*, ln(n * (SELECT count(*) FROM p)::DOUBLE / (nw * nt)) AS pmi FROM x
@@ -303,7 +303,7 @@ ORACLE_SQL = {
     "landing": f"""WITH {_LISTS}, c AS (SELECT query_id, id, 3 - rank AS rank FROM a WHERE rank <= 2), {_fuse_sql('f1', 'a', 'b', 16, 1)}, {_fuse_sql('f2', 'c', 'f1', 16, 1)}, {_fuse_sql('f3', 'f2', 'b', 16, 0)},
         l AS (SELECT f3.*, row_number() OVER (PARTITION BY query_id, lang, substr(md5(text), 1, 1) ORDER BY rank) > 1 AS late FROM f3 JOIN documents ON doc_id = id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place, id FROM l QUALIFY place <= 8""",
-    "companion_votes": """WITH i AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag AS kind FROM lineitem WHERE l_orderkey % 10 = 1),
+    "companion_votes": """WITH i AS (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag AS kind FROM lineitem),
         one AS (SELECT a.l_partkey AS a, b.l_partkey AS b, a.kind FROM i a JOIN i b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey),
         k AS (SELECT a, b, count(DISTINCT kind) AS kinds FROM (SELECT a, b, kind FROM one UNION ALL SELECT b, a, kind FROM one) GROUP BY 1, 2),
         l AS (SELECT p_partkey % 4 AS query_id, p_partkey AS path, p_partkey // 4 AS pos FROM part WHERE p_partkey <= 20),
@@ -312,6 +312,19 @@ ORACLE_SQL = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(votes, 9) DESC, path) AS place, path, round(votes, 6) AS votes FROM w QUALIFY place <= 12""",
     "scope_rank": f"""WITH s AS (SELECT source, doc_id, len(list_intersect(list_distinct({_TOK(x="text")}), ['the', 'and', 'la', 'die', 'with', 'license'])) * 10
             * CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END - doc_id % 5 AS score FROM documents)
-        SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place, doc_id, score FROM s QUALIFY place <= 5""",
+        SELECT source, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id % 5, doc_id) AS place, doc_id, score FROM s QUALIFY place <= 5""",
+    "graph_search": f"""WITH {GRAPH_SQL}, g AS (SELECT * FROM nodes WHERE kind IN ('nation', 'region', 'supplier')),
+        bag AS (SELECT id, 3 AS w, unnest({_TOK(x="name")}) AS term FROM g UNION ALL SELECT id, 1, unnest({_TOK(x="kind")}) FROM g UNION ALL SELECT id, 1, unnest({_TOK(x="repo")}) FROM g),
+        p AS (SELECT id, term, sum(w)::DOUBLE AS tf FROM bag GROUP BY ALL), c AS (SELECT count(*)::DOUBLE AS n FROM g),
+        t AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p, c GROUP BY term, n),
+        q AS (SELECT * FROM (VALUES (1, 'nation', 1), (2, 'supplier', 2), (2, '1', 2), (3, 'europe', 1), (4, 'asia', 1)) v(query_id, token, total)), k AS (SELECT DISTINCT token FROM q),
+        r AS (SELECT token FROM k ANTI JOIN t ON token = term), h AS (SELECT token, unnest(list_transform(range(2, length(token)), lambda i: substr(token, 1, i::INT))) AS head FROM r WHERE length(token) > 2),
+        m AS (SELECT token, term FROM k JOIN t ON token = term UNION SELECT token, term FROM r JOIN t ON starts_with(term, token)
+              UNION SELECT token, arg_max(head, length(head)) FROM h SEMI JOIN t ON head = term GROUP BY 1),
+        b AS (SELECT query_id, id, sum(idf * length(token)::DOUBLE / length(term) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE)) AS base, count(DISTINCT token)::DOUBLE / any_value(total) AS share
+              FROM q JOIN m USING (token) JOIN t USING (term) JOIN p USING (term) GROUP BY ALL),
+        n AS (SELECT query_id, string_agg(token, ' ') AS needle FROM (VALUES (1, 'nation'), (2, 'supplier 1'), (3, 'europe'), (4, 'asia')) v(query_id, token) GROUP BY 1),
+        s AS (SELECT query_id, id, lower(name) = needle AS exact, lower(name) <> needle AND contains(lower(name), needle) AS part, round(base * (1 + 2 * pow(share, 1.5)), 6) AS score FROM b JOIN g USING (id) JOIN n USING (query_id))
+        SELECT query_id::INT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, part DESC, score DESC, id) AS rank, id, round(score, 4) AS score FROM s QUALIFY rank <= 5""",
     "deprecated_filter": f"WITH {_NODES} SELECT kind, repo, count(*) AS n FROM nodes WHERE NOT deprecated AND kind IN ('function', 'file') GROUP BY ALL",
 }

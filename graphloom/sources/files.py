@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +39,53 @@ def read_tree(spark: SparkSession, root: str, repo: str, scope: str | None = Non
     return f.orderBy("path").limit(limit) if limit else f
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that was committed last; None where nothing was."""
+    fs, at = _hadoop(spark, f"{path.rstrip('/')}/CURRENT")
+    if not fs.exists(at):
+        return None
+    name = spark.read.text(at.toString()).first()
+    return f"{path.rstrip('/')}/{name[0]}" if name else None
+
+
+def _commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], kind: str) -> None:
+    """Write the tables as one version; naming it in one small file is what makes all of them visible at once."""
+    before, version = _current(spark, path), f"version-{uuid.uuid4().hex[:12]}"
+    for name, df in tables.items():
+        df.write.format(kind).save(f"{path.rstrip('/')}/{version}/{name}")
+    fs, at = _hadoop(spark, f"{path.rstrip('/')}/CURRENT")
+    out = fs.create(at, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if before:
+        fs, at = _hadoop(spark, before)
+        fs.delete(at, True)
+
+
 def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
-    return PropertyGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    """The graph that ``write_graph`` committed last."""
+    at = _current(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"no graph at {path}")
+    return PropertyGraph(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"))
 
 
 def write_graph(graph: PropertyGraph, path: str) -> None:
-    """Tables of nodes and edges; the commit protocol leaves no half-written table behind."""
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Nodes and edges, committed together: a reader sees the old graph or the new one, never a mix."""
+    _commit(graph.nodes.sparkSession, path, {"nodes": graph.nodes, "edges": graph.edges}, "parquet")
 
 
 def read_graph_json(spark: SparkSession, path: str) -> PropertyGraph:
-    """A graph from one JSON document ``{"nodes": [...], "edges": [...]}``."""
+    """A graph from one JSON document ``{"nodes": [...], "edges": [...]}``, or as ``write_graph_json`` wrote it."""
+    at = _current(spark, path)
+    if at is not None:
+        return PropertyGraph(spark.read.json(f"{at}/nodes"), spark.read.json(f"{at}/edges"))
     doc = spark.read.option("multiLine", True).json(path)
     nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select("n.*", F.col("ord").cast("long"))
     edges = doc.select(F.posexplode("edges").alias("ord", "e")).select("e.*", F.col("ord").cast("long"))
@@ -55,9 +93,39 @@ def read_graph_json(spark: SparkSession, path: str) -> PropertyGraph:
 
 
 def write_graph_json(graph: PropertyGraph, path: str) -> None:
-    graph.nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("*")).alias("row")).unionAll(
-        graph.edges.select(F.lit("edge").alias("part"), F.to_json(F.struct("*")).alias("row"))
-    ).write.mode("overwrite").partitionBy("part").text(path)
+    """Nodes and edges as lines of JSON, committed together."""
+    _commit(graph.nodes.sparkSession, path, {"nodes": graph.nodes, "edges": graph.edges}, "json")
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """``(id, embedding, digest)`` of a vector index, committed at once; components of four bytes."""
+    v = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"), "digest")
+    _commit(vectors.sparkSession, path, {"vectors": v}, "parquet")
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vector index; None where there is none, it cannot be read, or it knows no digests. Never raises for what it finds there."""
+    try:
+        at = _current(spark, path)
+        v = None if at is None else spark.read.parquet(f"{at}/vectors")
+        if v is None or not {"id", "embedding", "digest"} <= set(v.columns) or v.isEmpty():
+            return None
+    except (PySparkException, Py4JError):
+        return None
+    return v
+
+
+# Why a search by meaning was not made.
+NO_ENDPOINT, NO_INDEX, NO_ANSWER = "no endpoint", "no index", "no answer"
+
+
+def dense_reason(endpoint: str | None, index: DataFrame | None, asked: DataFrame | None) -> str | None:
+    """Why there are no hits by meaning: nothing that embeds, no index, or no vectors of the requests; None if there can be some."""
+    if not endpoint:
+        return NO_ENDPOINT
+    if index is None:
+        return NO_INDEX
+    return NO_ANSWER if asked is None or asked.isEmpty() else None
 
 
 def read_events(spark: SparkSession, path: str, fields: str = "ts double, step string, status string", drop_sessions: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import subprocess
 
 from graphloom.operators import journal
+from graphloom.operators.graph import PropertyGraph
 from graphloom.sources import files
 from graphloom.sources.git import GitRefSource
 from graphloom.streaming import journal as stream
@@ -49,6 +50,36 @@ def test_graph_round_trip(spark, tmp_path):
     assert back.nodes.count() == 2 and back.edges.first().dst == "b"
 
 
+def test_json_round_trip_and_versions(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "file", 0), ("b", "file", 1)], "id string, kind string, ord long")
+    edges = spark.createDataFrame([("a", "b", "imports", 0)], "src string, dst string, kind string, ord long")
+    at = str(tmp_path / "g")
+    files.write_graph_json(PropertyGraph(nodes, edges), at)
+    files.write_graph_json(PropertyGraph(nodes.limit(1), edges), at)
+    back = files.read_graph_json(spark, at)
+    assert [r.id for r in back.nodes.collect()] == ["a"] and back.edges.first().dst == "b"
+    assert len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("version-")]) == 1
+    # a version that was written but never named is not seen
+    (tmp_path / "g" / "version-half" / "nodes").mkdir(parents=True)
+    assert files.read_graph_json(spark, at).nodes.count() == 1
+
+
+def test_vector_index_is_absent_rather_than_broken(spark, tmp_path):
+    at = str(tmp_path / "v")
+    assert files.read_vectors(spark, at) is None
+    v = spark.createDataFrame([("a", [1.0, 2.0], "d")], "id string, embedding array<double>, digest string")
+    files.write_vectors(v, at)
+    index = files.read_vectors(spark, at)
+    assert index.first().embedding == [1.0, 2.0]
+    assert files.dense_reason("", index, v) == files.NO_ENDPOINT and files.dense_reason("u", None, v) == files.NO_INDEX
+    assert files.dense_reason("u", index, v.limit(0)) == files.NO_ANSWER and files.dense_reason("u", index, v) is None
+    for part in (tmp_path / "v").rglob("*.parquet"):
+        part.write_bytes(b"half a file")
+    assert files.read_vectors(spark, at) is None
+    (tmp_path / "v" / "CURRENT").write_text("version-gone")
+    assert files.read_vectors(spark, at) is None
+
+
 def test_workspaces_and_aliases(spark):
     f = spark.createDataFrame(
         [("r", "package.json", '{"name": "root"}'), ("r", "packages/ui/package.json", '{"name": "@x/ui", /* c */ "v": 1,}'), ("r", "web/tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}} // end')],

@@ -197,7 +197,7 @@ _RUST = {
     "use": re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+)"),
 }
 _RUST_ROUTE = re.compile(r"""\.route\(\s*"([^"]+)"\s*,\s*([^)]*\([^)]*\))""")
-_RUST_METHOD = re.compile(r"\b(get|post|put|delete|patch)\s*\(\s*([\w:]+)")
+_RUST_METHOD = re.compile(r"\b(get|post|put|patch|delete|head|options|any)\s*\(\s*([\w:]+)")
 
 
 def rust_rows(out: Rows, text: str) -> None:

@@ -5,7 +5,7 @@ import subprocess
 
 from graphloom.operators import journal
 from graphloom.operators.graph import PropertyGraph
-from graphloom.sources import files
+from graphloom.sources import files, reports
 from graphloom.sources.git import GitRefSource
 from graphloom.streaming import journal as stream
 
@@ -102,3 +102,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").agg({"ran": "sum", "skipped": "sum"}).first().asDict() == {"sum(ran)": 3, "sum(skipped)": 3}
+
+
+def test_reports(spark, tmp_path):
+    nodes = spark.createDataFrame(
+        [("r", "route", "/a/x", "web", "", 0, 0), ("f", "file", "page.tsx", "web", "page.tsx", 0, 1), ("g", "file", "<lib>.ts", "web", "lib.ts", 0, 2),
+         ("c", "api_call", "GET /u", "web", "lib.ts", 0, 3), ("e", "endpoint", "GET /u", "api", "u.py", 0, 4)],
+        "id string, kind string, name string, repo string, path string, line int, ord long",
+    )
+    edges = spark.createDataFrame([("r", "f", "route_of"), ("f", "g", "imports"), ("g", "c", "contains"), ("c", "e", "resolves_to")], "src string, dst string, kind string")
+    g = PropertyGraph(nodes, edges)
+    page = "\n".join(reports.domain_map(g))
+    assert "<h2>/a <small>(1)</small></h2>" in page and page.count("GET /u") == 2
+    assert "&lt;lib&gt;.ts" in "\n".join(reports.dashboard(g)) and "<td>api</td><td>web</td><td>1</td>" in "\n".join(reports.dashboard(g))
+    lines = reports.tour(g, "web")
+    assert lines[2:4] == ["## 1. `lib.ts`", "- used by 1"] and lines[5] == "## 2. `page.tsx`"
+    reports.write_text(spark, str(tmp_path / "tour.md"), lines)
+    assert (tmp_path / "tour.md").read_text().startswith("# Tour of web")

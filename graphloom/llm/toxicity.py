@@ -183,7 +183,7 @@ def train(
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter(share < cut)
     # about 2 * per_label rows of 12 bytes, whatever the corpus
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -240,6 +240,6 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts get the score of no words. Repeated rows stay. Other columns are
     ignored. No rows: no rows.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scored = d.select("doc_id", score_column(d.sparkSession, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

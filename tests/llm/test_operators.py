@@ -641,6 +641,47 @@ def test_licenses_in_one_file_do_not_hide_each_other(spark):
     assert not any(got[i] for i in range(2, len(texts)))
 
 
+def slow_scan(words_, index):
+    """Best coverage by label: every template against every place of a file, without an index."""
+    out = {}
+    step = licenses.SLACK + 1
+    for t, template in enumerate(index.words):
+        for cell in range(-(len(template) // step) - 2, len(words_) // step + 2):
+            base = cell * step
+            lo, hi = max(0, base - licenses.SLACK), base + 2 * step + len(template) + licenses.SLACK
+            here = words_[lo:hi]
+            got = sum(
+                index.idf[w] for p, w in enumerate(template)
+                if w in words_[max(lo, base + p - licenses.SLACK) : max(0, min(hi, base + p + 2 * licenses.SLACK + 2))]
+            )
+            stands = all(any(tuple(here[i : i + len(ph)]) == ph for i in range(len(here))) for ph in index.phrases[t])
+            if stands and got / index.weight[t] >= licenses.COVERAGE:
+                label = licenses.TEMPLATES[t][0]
+                out[label] = max(out.get(label, 0), round(got / index.weight[t], 6))
+    return out
+
+
+def test_licenses_against_every_place():
+    rng = random.Random(29)
+    index = licenses.Index.build({b"the": 900, b"license": 400, b"software": 300, b"public": 50}, 1000)
+    found = 0
+    for _ in range(250):
+        w = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            template = licenses.TEMPLATES[rng.randrange(len(licenses.TEMPLATES))][1].split()
+            for _ in range(rng.randrange(3)):
+                template.insert(rng.randrange(len(template)), "added")
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = template[: rng.randrange(3 * len(template) // 4, len(template) + 1)]
+        words_ = licenses.words_of(" ".join(w))
+        got = {}
+        for label, _, _, cover in licenses.scan(words_, index):
+            got[label] = max(got.get(label, 0), cover)
+        assert got.keys() == slow_scan(words_, index).keys()
+        found += len(got)
+    assert found > 60
+
+
 # 8 chat
 
 
@@ -813,3 +854,32 @@ def test_language(spark, empty):
     assert langid.predict(empty, model).count() == 0
     assert langid.train(empty, F.lit(True)) is None
     assert {r.lang_pred for r in langid.predict(d.limit(3), None).collect()} == {"und"}
+
+
+# all
+
+
+def test_repeated_rows_and_missing_ids(spark, tmp_path):
+    """Every row counts, also one that repeats another or has no id; columns of any name do no harm."""
+    import public_tokenizers
+
+    texts = ["some words of a text", "some words of another text", "same words here", "same words here", "other words", None, ""]
+    rows = [(i, t, "en", "a", 0, "x", "y", 1) for i, t in zip((None, None, 1, 1, 1, None, 2), texts, strict=True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, score string, h long")
+    n = len(rows)
+    mixed = mixing.mix(d).collect()
+    assert len(mixed) == n and sum(r["size"] for r in mixed) == sum(len((t or "").split()) for t in texts)
+    pieces = packing.pack(d, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(pieces) == n and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces)
+    near = simhash.near_duplicates(d, 3).collect()
+    assert len(near) == n and {r.component_id for r in near if r.fp == 0} == {2}
+    assert len(simhash.similar_documents(d).collect()) == n and simhash.drop_similar(d).columns == d.columns
+    model = toxicity.train(d, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int"))
+    assert toxicity.classify(d, model).count() == n
+    assert licenses.scan_licenses(d).count() == n
+    edited = sketch.edited_likeness(d).collect()
+    assert len(edited) == n and all(0 <= r.near_next <= 1 for r in edited)
+    lang = langid.train(d, F.lit(True))
+    assert langid.predict(d, lang).count() == n
+    kept = mixing.resample(d)
+    assert kept.columns == d.columns and kept.count() > 0

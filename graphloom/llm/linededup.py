@@ -96,15 +96,15 @@ def _variants(around: Column, text: Column, whole: Column, first: Column) -> Col
     return F.when(whole, one).when(text != "", cut)
 
 
-def _key(id_: Column, text: Column) -> Column:
+def _key(id_: Column, text: Column) -> list[Column]:
     """Tells rows apart and orders them: the id, nulls first, then a hash of the text for rows that share an id."""
-    return F.struct(id_.alias("doc_id"), F.xxhash64(text).alias("h"))
+    return [id_.alias("doc_id"), F.xxhash64(text).alias("h")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return (
-        docs.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("key", "pos", F.trim("line").alias("line"))
+        docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", "h", "pos", F.trim("line").alias("line"))
         .filter(F.col("line") != "")
     )
 
@@ -119,16 +119,16 @@ def _shared(keys: DataFrame, name: str) -> DataFrame:
 def kept_lines(
     docs: DataFrame, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(key, kept array<int>)``: places of the non-blank lines that stay, for documents that keep any; ``key`` as of ``_key``."""
+    """``(doc_id, h, kept array<int>)``: places of the non-blank lines that stay, for documents that keep any; ``h`` as of ``_key``."""
     if near_chars < 2 * STEP + 1:
         raise ValueError(f"near_chars must be {2 * STEP + 1} or more")
     text = F.col(f"`{text_col}`")
-    d = docs.select(_key(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
-    hashed = _lines(d).select("key", "pos", *line_key(F.col("line")))
-    firsts = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first")), "lines")
+    d = docs.select(*_key(F.col(f"`{id_col}`"), text), text.alias("text"))
+    hashed = _lines(d).select("doc_id", "h", "pos", *line_key(F.col("line")))
+    firsts = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first")), "lines")
     beaten = _beaten(d, near_chars)
     stay = firsts.join(_bounded(beaten, beaten.count()), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.pos").alias("kept"))
+    return stay.groupBy("first.doc_id", "first.h").agg(F.collect_list("first.pos").alias("kept"))
 
 
 def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
@@ -138,11 +138,11 @@ def _beaten(d: DataFrame, near_chars: int) -> DataFrame:
     ends = long.select(F.xxhash64("line").alias("h1"), F.explode(_end_keys(F.col("line"), n)).alias("key"))
     shared = _shared(ends, "lines-ends")
     texts = (
-        long.select("key", "pos", "line", F.explode(_end_keys(F.col("line"), n)).alias("end"))
+        long.select("doc_id", "h", "pos", "line", F.explode(_end_keys(F.col("line"), n)).alias("end"))
         .join(shared.withColumnRenamed("key", "end"), "end", "left_semi")
-        .select(*line_key(F.col("line")), "key", "pos", "line")
+        .select(*line_key(F.col("line")), "doc_id", "h", "pos", "line")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("key", "pos")).alias("first"), F.min("line").alias("line"))
+        .agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.min("line").alias("line"))
     )
     texts = materialize(texts, "lines-text")
     who = F.struct("first", "h1", "h2").alias("who")
@@ -193,9 +193,9 @@ def dedup_lines(
     kept = kept_lines(docs, near_chars, id_col, text_col)
     names = [c for c in docs.columns if c not in count_cols]
     # as fields of one column the caller's names clash with none of these
-    key = _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"), key.alias("key"))
-    d = d.join(kept, "key", "left")
+    key = F.struct(*_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).alias("key")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"), key)
+    d = d.join(kept.select(F.struct("doc_id", "h").alias("key"), "kept"), "key", "left")
     equal = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     d = d.select("d", F.when(equal == 1, F.col("kept")).alias("kept"))
     text = F.col("d").getField(text_col)

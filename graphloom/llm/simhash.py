@@ -135,9 +135,9 @@ def digest(near: DataFrame) -> DataFrame:
 ORDER_TEXTS = 20_000
 #: Common shingles that are put last in the order, at most; the order of the others is their hash.
 ORDER_SHINGLES = 200_000
-#: Texts of a shingle outside its largest group from which they are a crowd; the texts of each that
-#: all others meet, and how often. They set how links are found, never which.
-CROWD, CROWD_HEADS, CROWD_ROUNDS = 16, 4, 2
+#: Texts of a shingle outside its largest group from which they are a crowd, and the texts of each that
+#: all others meet. They set how links are found, never which.
+CROWD, CROWD_HEADS = 200, 8
 #: Longs of a set's bitmap.
 BITMAP = 8
 #: Numbers of removed rows (8 bytes each) up to which they are broadcast; beyond, they are joined by shuffling.
@@ -268,30 +268,27 @@ def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
     stars = shared.join(heads, "h").filter(F.col("row") != F.col("head.row")).select(pairs(F.col("row"), F.col("n"), F.col("head.row"), F.col("head.n")))
     links = _alike(materialize(near(stars), "similar-stars"), d, words, similarity)
 
-    def mixed_groups() -> DataFrame:
-        """Rows of the shingles whose texts no links join yet, with the root of most of them."""
+    def mixed_groups(of: DataFrame) -> DataFrame:
+        """The rows ``(h, row, n)`` of shingles whose texts no links join yet, with the root of most of them."""
         roots = connected_components(links).withColumnRenamed("node", "row")
-        placed = materialize(shared.join(roots, "row", "left").select("h", "row", "n", F.coalesce("root", "row").alias("root")), "similar-placed")
+        placed = materialize(of.join(roots, "row", "left").select("h", "row", "n", F.coalesce("root", "row").alias("root")), "similar-placed")
         each = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
         each = each.agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.sum("k").alias("k"), F.max("k").alias("most"), F.count(F.lit(1)).alias("roots"))
         out = materialize(placed.join(each.filter("roots > 1").select("h", "top", (F.col("k") - F.col("most")).alias("outside")), "h"), "similar-mixed")
         drop_scratch(placed)
         return out
 
-    # a crowd of near copies that one text does not join: its texts meet a few others, anew each time
-    mixed = mixed_groups()
-    for i in range(CROWD_ROUNDS):
-        crowd = mixed.filter(F.col("outside") >= CROWD).select("h", "row", "n", "root")
-        place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64(F.lit(i), "row")))
-        some = crowd.withColumn("place", place).filter(F.col("place") <= CROWD_HEADS).select("h", F.col("row").alias("r"), F.col("n").alias("m"), F.col("root").alias("s"))
-        met = crowd.join(some, "h").filter((F.col("root") != F.col("s")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
-        met = materialize(met.select(F.least("row", "r").alias("src"), F.greatest("row", "r").alias("dst")).distinct(), "similar-met")
-        if met.isEmpty():
-            break
-        links = links.unionAll(_alike(met, d, words, similarity))
-        drop_scratch(mixed)
-        mixed = mixed_groups()
+    mixed = mixed_groups(shared)
     drop_scratch(shared)
+    # a crowd of near copies that one text does not join: its texts meet a few others first
+    crowd = materialize(mixed.filter(F.col("outside") >= CROWD).select("h", "row", "n", "root"), "similar-crowd")
+    place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row")))
+    some = crowd.withColumn("place", place).filter(F.col("place") <= CROWD_HEADS).select("h", F.col("row").alias("r"), F.col("n").alias("m"), F.col("root").alias("s"))
+    met = crowd.join(some, "h").filter((F.col("root") != F.col("s")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
+    met = materialize(met.select(F.least("row", "r").alias("src"), F.greatest("row", "r").alias("dst")).distinct(), "similar-met")
+    links = links.unionAll(_alike(met, d, words, similarity))
+    crowd = mixed_groups(crowd.select("h", "row", "n"))
+
     def meet(m: DataFrame, more: Column) -> DataFrame:
         a, b = m.filter(F.col("root") != F.col("top")).alias("a"), m.alias("b")
         on = (
@@ -308,10 +305,10 @@ def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
         differ = differ + F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i))))
     both = F.col("a.n") + F.col("b.n")
     possible = differ <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
-    crowd = mixed.filter(F.col("outside") >= CROWD).join(texts.select("row", "bits"), "row")
-    others = meet(mixed.filter(F.col("outside") < CROWD), F.lit(True)).unionAll(meet(crowd, possible))
+    bits = crowd.join(texts.select("row", "bits"), "row")
+    others = meet(mixed.filter(F.col("outside") < CROWD), F.lit(True)).unionAll(meet(bits, possible))
     others = materialize(near(others), "similar-others")
-    drop_scratch(mixed)
+    drop_scratch(mixed, crowd)
     roots = connected_components(links.unionAll(_alike(others, d, words, similarity)))
     return texts.join(roots, F.col("row") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "row").alias("root"))
 

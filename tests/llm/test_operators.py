@@ -39,7 +39,9 @@ def empty(spark):
 # components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)]
     parent = {v: v for p in pairs for v in p}
@@ -322,8 +324,9 @@ def test_similar_documents_links_by_the_exact_similarity(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
-def test_similar_documents_in_a_crowd(spark):
+def test_similar_documents_in_a_crowd(spark, monkeypatch):
     """A group of copies that differ so much that one in four is alike: the same groups as by all pairs."""
+    monkeypatch.setattr(simhash, "CROWD", 16)
     rng = random.Random(23)
     base = words(rng, 150, 100_000).split()
     texts = []

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Queries of a block; of 64 components each, about 10 MB.
 QUERY_BLOCK = 20_000
+#: Queries that a batch of vectors is multiplied with at once.
+QUERIES_AT_ONCE = 256
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -17,7 +19,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     The queries are a stated set. They are sent to the vectors in blocks of at most
     ``QUERY_BLOCK`` of each length, however many there are. A batch of vectors is multiplied with
-    a block at once and leaves ``k`` rows a query. Null and empty vectors are near to nothing.
+    some of them at once and leaves ``k`` rows a query. Null and empty vectors are near to nothing.
     """
     import pyarrow as pa
 
@@ -39,8 +41,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 for dim, (ids, x) in _matrices(pa.table(batch.columns, names=["id", "v"])):
                     if dim in block:
                         keys, q = block[dim]
-                        at, row, score = _first(np.round(x @ q.T, 9), np.array(ids.to_pylist()), k)
-                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), ids.take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
+                        names = np.array(ids.to_pylist())
+                        for lo in range(0, len(q), QUERIES_AT_ONCE):
+                            at, row, score = _first(np.round(x @ q[lo : lo + QUERIES_AT_ONCE].T, 9), names, k)
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at + lo)), ids.take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
 
         s = v.mapInArrow(run, schema).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
         out = s if out is None else out.unionAll(s)
@@ -73,7 +77,6 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return c, r, score[r, c]
 
 
-
 def fuse(primary: DataFrame, secondary: DataFrame, k: int, head: int = 2, c: float = 60.0, offset: int = 1) -> DataFrame:
     """Reciprocal-rank fusion of two lists ``(query_id, rank, id)``: ``(query_id, rank, id, score)``.
 

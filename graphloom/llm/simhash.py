@@ -11,7 +11,7 @@ therefore meets every such pair; the bits themselves are compared in the join.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -27,26 +27,36 @@ CHUNK = 1 << 16
 MAX_BITS = 3
 
 
-def fingerprint_text(text: str | None, words: int) -> int:
-    """The unsigned 64-bit SimHash of a whole text; 0 without words.
-
-    A-Z is lower-cased; words are runs of anything but ASCII white space; shingles are
-    ``words`` words (all of a shorter text) and count as often as they occur.
-    """
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in their order, repeats included, ``CHUNK`` at a time; none without words."""
     w = (text or "").encode("utf-8", "replace").lower().split()
     if not w:
-        return 0
+        return
     size = min(words, len(w))
     total = len(w) - size + 1
-    ones = np.zeros(64, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, total, CHUNK):
         n = min(CHUNK, total - at)
-        h = np.array([digest(join(s), 42) for s in zip(*(w[at + k : at + k + n] for k in range(size)))], "<u8")
+        yield np.array([digest(join(s), 42) for s in zip(*(w[at + k : at + k + n] for k in range(size)))], "<u8")
+
+
+def _fingerprint(parts: Iterable[np.ndarray]) -> int:
+    ones, total = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(h)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_text(text: str | None, words: int) -> int:
+    """The unsigned 64-bit SimHash of a whole text; 0 without words.
+
+    A-Z is lower-cased; words are runs of anything but ASCII white space; shingles are
+    ``words`` words (all of a shorter text) and count as often as they occur.
+    """
+    return _fingerprint(_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp long)``, one row per row of ``docs``; null text counts as empty."""
     import pyarrow as pa
@@ -101,6 +111,17 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return a.join(b, on).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
+def _components(d: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, component_id)`` of every value of ``fp`` in ``d(doc_id, fp)``: the smallest ``doc_id`` that links of fingerprints reach."""
+    distinct = materialize(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
+    roots = connected_components(links(distinct.select("fp"), max_bits))
+    near = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    least = near.groupBy("root").agg(F.min("first").alias("component_id"))
+    return near.join(least, "root").select("fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -112,14 +133,7 @@ def near_duplicates(
     a component's id unless it has no other. Other columns are ignored. No rows: no rows.
     """
     d = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
-    distinct = materialize(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
-    roots = connected_components(links(distinct.select("fp"), max_bits))
-    near = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = near.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = near.join(least, "root").select("fp", "component_id")
-    return d.join(of, "fp").select("doc_id", "fp", "component_id")
+    return d.join(_components(d, max_bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(near: DataFrame) -> DataFrame:
@@ -127,9 +141,10 @@ def digest(near: DataFrame) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Documents of a given similarity. Three bits of 64 mean nearly equal texts. For lower similarities
-# the shingle sets themselves are joined, exactly: of two sets that are alike enough, the first
-# shingles in any order common to all sets share at least one.
+# Documents of a given similarity. Fingerprints group texts first, by the grid join above, and the exact
+# similarity decides. Three bits of 64 mean nearly equal texts; for what they leave apart the shingle sets
+# themselves are joined, exactly: of two sets that are alike enough, the first shingles in any order
+# common to all sets share at least one.
 
 #: Texts, in expectation, whose shingles say which are common. They set an order, never a result.
 ORDER_TEXTS = 20_000
@@ -140,23 +155,22 @@ ORDER_SHINGLES = 200_000
 CROWD, CROWD_HEADS = 200, 8
 #: Longs of a set's bitmap.
 BITMAP = 8
+#: How many shingles two sets must share at their beginnings, between one (0, the shortest beginnings) and as
+#: many as all first shingles promise (1). It sets how many pairs are looked at, never which links are found.
+DEPTH = 0.5
 #: Numbers of removed rows (8 bytes each) up to which they are broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The set of 64-bit hashes of a text's shingles, sorted; words and shingles as in ``fingerprint_text``."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
+    return _set_of([np.unique(h) for h in _hashes(text, words)])
+
+
+def _set_of(parts: list[np.ndarray]) -> np.ndarray:
+    if not parts:
         return np.zeros(0, np.uint64)
-    size = min(words, len(w))
-    total = len(w) - size + 1
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    parts = []
-    for at in range(0, total, CHUNK):
-        n = min(CHUNK, total - at)
-        parts.append(np.unique(np.array([digest(join(s), 42) for s in zip(*(w[at + k : at + k + n] for k in range(size)))], np.uint64)))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+    return np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
 
 
 def first_shingles(found: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -197,26 +211,28 @@ def _common_shingles(docs: DataFrame, words: int, rows: int) -> tuple[np.ndarray
 
 
 def _shingled(docs: DataFrame, words: int, similarity: float, rows: int) -> DataFrame:
-    """``docs(doc_id, text, rest)`` with ``(h1, h2, n, firsts, bits, row)``: two hashes of the set of shingles, its size, first shingles and bitmap, a number of the row."""
+    """``docs(doc_id, text, rest)`` with ``(h1, h2, n, firsts, bits, fp, row)``: two hashes of the set of shingles, its size, first shingles and bitmap, the fingerprint, a number of the row."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words, rows))
-    own = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
+    own = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
     schema = T.StructType([*docs.schema, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         for b in batches:
-            h1, h2, size, firsts, bits = [], [], [], [], []
+            h1, h2, size, firsts, bits, fp = [], [], [], [], [], []
             for x in b.column(1):
-                found = shingles(x.as_py(), words)
+                parts = list(_hashes(x.as_py(), words))
+                fp.append(_fingerprint(parts))
+                found = _set_of(parts)
                 h1.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 h2.append(xxhash.xxh64_intdigest(found.tobytes(), 43))
                 size.append(len(found))
                 firsts.append(first_shingles(found, similarity, common, rank).view(np.int64))
                 bits.append(bitmap(found))
             signed = lambda h: pa.array(np.array(h, np.uint64).view(np.int64))
-            columns = [*b.columns, signed(h1), signed(h2), pa.array(size, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            columns = [*b.columns, signed(h1), signed(h2), pa.array(size, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), signed(fp)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         give_back_memory()
 
@@ -245,10 +261,15 @@ def _alike(pairs: DataFrame, d: DataFrame, words: int, similarity: float) -> Dat
 def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
     """``(h1, h2, root)`` of every set of shingles in ``d``: the smallest row that links lead to."""
     texts = d.groupBy("h1", "h2").agg(
-        F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"), F.any_value("bits").alias("bits")
-    )
+        F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("firsts").alias("firsts"), F.any_value("bits").alias("bits"),
+        F.min("fp").alias("fp"),
+    )
     texts = materialize(texts, "similar-texts")
-    dealt = texts.select(F.explode("firsts").alias("h"), "row", "n")
+    # texts whose fingerprints lie within a few bits, or are joined by such, meet the first of their group
+    grouped = texts.select("row", "fp").join(_components(texts.select(F.col("row").alias("doc_id"), "fp"), MAX_BITS), "fp")
+    grouped = grouped.filter("row <> component_id").select(F.col("component_id").alias("src"), F.col("row").alias("dst"))
+    alike = _alike(materialize(grouped, "similar-fingerprints"), d, words, similarity)
+    dealt = texts.select(F.posexplode("firsts").alias("i", "h"), "row", "n")
     # most shingles are one text's alone; only the others are dealt out with their texts
     often = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = materialize(dealt.join(often, "h", "left_semi"), "similar-shared")
@@ -257,21 +278,28 @@ def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
     def pairs(a: Column, an: Column, b: Column, bn: Column) -> list[Column]:
         return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.least(an, bn).alias("lo"), F.greatest(an, bn).alias("hi")]
 
-    # shingles of a set that are not among its first; of those, two sets share as many at most
-    rest = lambda n: F.ceil(similarity * n - 1e-9) - 1
-    most = F.col("k") + rest(F.col("hi"))
+    def least_shared(an: Column, bn: Column, depth: float) -> tuple[Column, Column]:
+        """How many shingles two sets of the similarity share, and how many of these their beginnings do, if each leaves out as many as the others less one.
+
+        All first shingles are such beginnings for the largest number of the second kind, ``depth`` 1.
+        """
+        whole = F.ceil(similarity / (1 + similarity) * (an + bn) - 1e-9)
+        most = whole - F.ceil(similarity * F.greatest(an, bn) - 1e-9)
+        return whole, 1 + F.floor(most * depth)
+
     sizes = F.col("lo") >= similarity * F.col("hi") - 1e-9
-    near = lambda p: (
+    near = lambda p, depth: (
         p.filter(sizes).groupBy("src", "dst", "lo", "hi").agg(F.count(F.lit(1)).alias("k"))
-        .filter(most >= F.ceil(similarity / (1 + similarity) * (F.col("lo") + F.col("hi")) - 1e-9)).select("src", "dst")
+        .filter(F.col("k") >= least_shared(F.col("lo"), F.col("hi"), depth)[1]).select("src", "dst")
     )
     stars = shared.join(heads, "h").filter(F.col("row") != F.col("head.row")).select(pairs(F.col("row"), F.col("n"), F.col("head.row"), F.col("head.n")))
-    links = _alike(materialize(near(stars), "similar-stars"), d, words, similarity)
+    stars = near(stars, 1).join(alike, ["src", "dst"], "left_anti")
+    found = alike.unionAll(_alike(materialize(stars, "similar-stars"), d, words, similarity))
 
     def mixed_groups(of: DataFrame) -> DataFrame:
-        """The rows ``(h, row, n)`` of shingles whose texts no links join yet, with the root of most of them."""
-        roots = connected_components(links).withColumnRenamed("node", "row")
-        placed = materialize(of.join(roots, "row", "left").select("h", "row", "n", F.coalesce("root", "row").alias("root")), "similar-placed")
+        """The rows ``(h, i, row, n)`` of shingles whose texts no links join yet, with the root of most of them."""
+        roots = connected_components(found).withColumnRenamed("node", "row")
+        placed = materialize(of.join(roots, "row", "left").select("h", "i", "row", "n", F.coalesce("root", "row").alias("root")), "similar-placed")
         each = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
         each = each.agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.sum("k").alias("k"), F.max("k").alias("most"), F.count(F.lit(1)).alias("roots"))
         out = materialize(placed.join(each.filter("roots > 1").select("h", "top", (F.col("k") - F.col("most")).alias("outside")), "h"), "similar-mixed")
@@ -281,35 +309,35 @@ def _roots(d: DataFrame, words: int, similarity: float) -> DataFrame:
     mixed = mixed_groups(shared)
     drop_scratch(shared)
     # a crowd of near copies that one text does not join: its texts meet a few others first
-    crowd = materialize(mixed.filter(F.col("outside") >= CROWD).select("h", "row", "n", "root"), "similar-crowd")
+    crowd = materialize(mixed.filter(F.col("outside") >= CROWD).select("h", "i", "row", "n", "root"), "similar-crowd")
     place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row")))
     some = crowd.withColumn("place", place).filter(F.col("place") <= CROWD_HEADS).select("h", F.col("row").alias("r"), F.col("n").alias("m"), F.col("root").alias("s"))
     met = crowd.join(some, "h").filter((F.col("root") != F.col("s")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
     met = materialize(met.select(F.least("row", "r").alias("src"), F.greatest("row", "r").alias("dst")).distinct(), "similar-met")
-    links = links.unionAll(_alike(met, d, words, similarity))
-    crowd = mixed_groups(crowd.select("h", "row", "n"))
-
-    def meet(m: DataFrame, more: Column) -> DataFrame:
-        a, b = m.filter(F.col("root") != F.col("top")).alias("a"), m.alias("b")
-        on = (
-            (F.col("a.h") == F.col("b.h"))
-            & (F.col("a.root") != F.col("b.root"))
-            & ((F.col("b.root") == F.col("b.top")) | (F.col("a.row") < F.col("b.row")))
-            & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
-        )
-        return a.join(b, on & more).select(pairs(F.col("a.row"), F.col("a.n"), F.col("b.row"), F.col("b.n")))
-
-    # in a crowd, only pairs whose bitmaps leave the similarity possible
+    found = found.unionAll(_alike(met, d, words, similarity))
+    crowd = mixed_groups(crowd.select("h", "i", "row", "n"))
+    # the others meet at the beginnings of their sets, where their bitmaps leave the similarity possible
+    left = mixed.filter(F.col("outside") < CROWD).unionByName(crowd)
+    left = left.select("h", "i", "row", "n", "root", (F.col("root") == F.col("top")).alias("in_top")).join(texts.select("row", "bits"), "row")
+    a, b = left.alias("a"), left.alias("b")
+    an, bn = F.col("a.n"), F.col("b.n")
+    whole, begun = least_shared(an, bn, DEPTH)
     differ = F.lit(0)
     for i in range(BITMAP):
         differ = differ + F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i))))
-    both = F.col("a.n") + F.col("b.n")
-    possible = differ <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-9)
-    bits = crowd.join(texts.select("row", "bits"), "row")
-    others = meet(mixed.filter(F.col("outside") < CROWD), F.lit(True)).unionAll(meet(bits, possible))
-    others = materialize(near(others), "similar-others")
+    on = (
+        (F.col("a.h") == F.col("b.h"))
+        & (F.col("a.root") != F.col("b.root"))
+        & ~F.col("a.in_top")
+        & (F.col("b.in_top") | (F.col("a.row") < F.col("b.row")))
+        & (F.least(an, bn) >= similarity * F.greatest(an, bn) - 1e-9)
+        & (F.col("a.i") + whole - begun < an)
+        & (F.col("b.i") + whole - begun < bn)
+        & (differ <= an + bn - 2 * whole)
+    )
+    others = materialize(near(a.join(b, on).select(pairs(F.col("a.row"), an, F.col("b.row"), bn)), DEPTH), "similar-others")
     drop_scratch(mixed, crowd)
-    roots = connected_components(links.unionAll(_alike(others, d, words, similarity)))
+    roots = connected_components(found.unionAll(_alike(others, d, words, similarity)))
     return texts.join(roots, F.col("row") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "row").alias("root"))
 
 
@@ -319,13 +347,15 @@ def similar_documents(
     """``(doc_id, component_id)``: documents link when the Jaccard similarity of their sets of shingles is ``similarity`` or more.
 
     Exact at any size of input: every pair of that similarity is met or already linked by
-    others, and every link is decided on the whole sets. Equal sets are one text. Two sets
-    that are alike enough share one of their first shingles (about a fifth of a set for 0.8),
-    in an order that puts the common ones last, so a passage of many texts brings few of them
-    together. Texts are first compared with one text of each of their first shingles, in crowds
-    with a few more; then only pairs that no link joins yet are met, each text outside the largest
-    group of a shingle with the others. So a group of near copies does not cost the square of its
-    size. Pairs that share too few of their first shingles to reach the similarity are not compared.
+    others, and every link is decided on the whole sets. Equal sets are one text. Fingerprints
+    are grouped as in ``near_duplicates``, and every text is compared with the first of its group.
+    For pairs further apart: two sets that are alike enough share one of their first shingles
+    (about a fifth of a set for 0.8), in an order that puts the common ones last, so a passage of
+    many texts brings few of them together. Texts are compared with one text of each of their
+    first shingles, in crowds with a few more; then only pairs that no link joins yet are met, each
+    text outside the largest group of a shingle with the others. So a group of near copies does not
+    cost the square of its size. Pairs that share too few shingles at the beginnings of their sets
+    to reach the similarity, or whose bitmaps differ in too many bits, are not compared.
 
     Null and empty texts are alike. Every row returns one row; null ids are kept. Other
     columns are ignored. No rows: no rows.

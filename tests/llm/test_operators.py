@@ -342,6 +342,62 @@ def test_similar_documents_in_a_crowd(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def scratch_counts(monkeypatch):
+    """Rows of the scratch tables that the near-duplicate join writes from now on, by name."""
+    counts, write = {}, simhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    return counts
+
+
+def test_similar_documents_groups_fingerprints_first(spark, monkeypatch):
+    """Long texts that differ in a word lie within three bits: they are linked by their fingerprints, and nothing is left to the join of shingles."""
+    counts = scratch_counts(monkeypatch)
+    rng = random.Random(31)
+    texts = []
+    for _ in range(20):
+        base = words(rng, 3000, 100_000)
+        texts += [base, edited(rng, base, 1)]
+    near = [i for i in range(0, 40, 2) if (simhash.fingerprint_text(texts[i], 5) ^ simhash.fingerprint_text(texts[i + 1], 5)).bit_count() <= 3]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(40)] == [i - i % 2 for i in range(40)]
+    assert counts["similar-fingerprints"] == len(near) >= 15
+    assert counts["similar-stars"] == 20 - len(near) and counts["similar-others"] == 0
+
+
+def test_similar_documents_decides_groups_of_fingerprints_by_the_sets(spark):
+    """Repeats count in a fingerprint, not in a set: equal fingerprints of texts that are not alike link nothing."""
+    rng = random.Random(32)
+    often = (words(rng, 41, 100_000) + " ") * 400
+    texts = [often + words(rng, 60, 100_000) for _ in range(2)]
+    assert (simhash.fingerprint_text(texts[0], 5) ^ simhash.fingerprint_text(texts[1], 5)).bit_count() <= 3
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1}
+
+
+def test_similar_documents_compares_few_pairs_of_a_loose_group(spark, monkeypatch):
+    """Texts that share most of their shingles but are not alike: bitmaps rule their pairs out in groups of any size."""
+    counts = scratch_counts(monkeypatch)
+    rng = random.Random(33)
+    base = words(rng, 200, 100_000)
+    texts = []
+    for _ in range(60):
+        w = base.split()
+        for at in rng.sample(range(200), 5):
+            w[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    expected, shares = slow_similar(texts, 0.8)
+    assert sum(0.5 < s < 0.8 for s in shares) > 1500
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    assert counts["similar-others"] < 150
+
+
 def test_bitmaps_never_differ_in_more_bits_than_sets():
     rng = np.random.default_rng(2)
     for n in (0, 1, 30, 400, 3000):

@@ -173,6 +173,16 @@ def link_handlers(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
 SCRIPT_TAILS = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
+#: Rows of a table to look up in up to which it is broadcast; beyond, it is joined by shuffling.
+LOOKUP_ROWS = 100_000
+
+
+def _lookup(table: DataFrame) -> DataFrame:
+    """``table`` as the right side of a join whose left side, of unknown size, is never the one that is broadcast."""
+    few = table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return F.broadcast(table) if few else table.hint("merge")
+
+
 def resolve_specs(imports: DataFrame, files: DataFrame, aliases: DataFrame, workspaces: DataFrame) -> DataFrame:
     """``(src, spec, kind, target)`` of imports ``(src, repo, spec)`` that are no relative paths.
 
@@ -182,18 +192,21 @@ def resolve_specs(imports: DataFrame, files: DataFrame, aliases: DataFrame, work
     """
     i = imports.filter(~F.startswith("spec", F.lit("."))).select("src", "repo", "spec").distinct()
     heads = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.length("spec")), lambda n: F.substr(F.col("spec"), F.lit(1), n))))
-    a = i.select("*", F.explode(heads).alias("alias")).join(aliases.select("repo", "alias", "target"), ["repo", "alias"])
+    a = i.select("*", F.explode(heads).alias("alias")).join(_lookup(aliases.select("repo", "alias", "target")), ["repo", "alias"])
     rest = F.ltrim(F.substr(F.col("spec"), F.length("alias") + 1), F.lit("/"))
     base = F.rtrim(F.when(rest == "", F.col("target")).otherwise(F.concat_ws("/", "target", rest)), F.lit("/"))
     whole = F.when(F.element_at(F.split(base, "/"), -1).rlike(r".\.[^.]+$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     tails = F.concat(whole, F.array(*map(F.lit, SCRIPT_TAILS)))
     a = a.select("src", "repo", "spec", "alias", "target", base.alias("base"), F.posexplode(tails).alias("p", "tail"))
-    a = a.withColumn("path", F.concat("base", "tail")).join(files.select("repo", "path", "id"), ["repo", "path"])
-    first = F.min_by("id", F.struct((-F.length("alias")).alias("n"), "alias", "target", "p")).alias("target")
-    as_file = a.groupBy("src", "spec").agg(first).select("src", "spec", F.lit("file").alias("kind"), "target")
+    a = a.withColumn("path", F.concat("base", "tail")).join(_lookup(files.select("repo", "path", "id")), ["repo", "path"])
+    a = a.select("src", "spec", F.struct((-F.length("alias")).alias("n"), "alias", "target", "p").alias("order"), "id", F.lit(None).cast("string").alias("name"))
     ways = F.transform(F.sequence(F.lit(1), F.size(F.split("spec", "/"))), lambda n: F.array_join(F.slice(F.split("spec", "/"), 1, n), "/"))
-    w = i.join(as_file, ["src", "spec"], "left_anti").select("src", "repo", "spec", F.explode(ways).alias("name")).join(workspaces.select("repo", "name"), ["repo", "name"])
-    return as_file.unionAll(w.groupBy("src", "spec").agg(F.min("name").alias("target")).select("src", "spec", F.lit("feature").alias("kind"), "target"))
+    w = i.select("src", "repo", "spec", F.explode(ways).alias("name")).join(_lookup(workspaces.select("repo", "name")), ["repo", "name"])
+    w = w.select("src", "spec", F.lit(None).cast(a.schema["order"].dataType).alias("order"), F.lit(None).cast("string").alias("id"), "name")
+    # one aggregation tells both kinds apart; an anti-join would hold every resolved import at once where it is broadcast
+    found = a.unionAll(w).groupBy("src", "spec").agg(F.count("order").alias("n"), F.min_by("id", "order").alias("id"), F.min("name").alias("name"))
+    is_file = F.col("n") > 0
+    return found.select("src", "spec", F.when(is_file, "file").otherwise("feature").alias("kind"), F.when(is_file, F.col("id")).otherwise(F.col("name")).alias("target"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -156,3 +156,19 @@ def test_call_names_agree(spark):
     text = 'a(1) # b(2)\nc = "d(3)" + f"{e(4)}"; if (x) g (5)\n/* h(6) */ `${i(7)} j(8)`'
     by_column = spark.createDataFrame([(text,)], "t string").select(x.call_names(F.col("t"))).first()[0]
     assert by_column == x.called(text) == ["a", "e", "g", "i"]
+
+
+def test_specs_mean_files_before_workspaces(spark, tmp_path, monkeypatch):
+    """The same targets whether the tables to look up in are few rows or many, and imports are broadcast in no case."""
+    rows = [("a", "r", "@/ui"), ("a", "r", "@x/ui/deep"), ("b", "r", "@/gone"), ("c", "r", "gone"), ("d", "r", "./ui"), ("e", "q", "@/ui"), ("f", "r", "@/lib"), ("a", "r", "@/ui")]
+    spark.createDataFrame(rows, "src string, repo string, spec string").write.parquet(str(tmp_path / "i"))
+    imports = spark.read.parquet(str(tmp_path / "i"))
+    files = spark.createDataFrame([("r", "web/ui.tsx", "1"), ("r", "web/ui/index.ts", "2"), ("r", "web/lib/index.js", "3")], "repo string, path string, id string")
+    aliases = spark.createDataFrame([("r", "@/", "web"), ("r", "@", "lib")], "repo string, alias string, target string")
+    ways = spark.createDataFrame([("r", "@x/ui", "packages/ui"), ("r", "@x", "packages"), ("r", "@", "p")], "repo string, name string, dir string")
+    for most in (100, 0):
+        monkeypatch.setattr(link, "LOOKUP_ROWS", most)
+        out = link.resolve_specs(imports, files, aliases, ways)
+        assert sorted(map(tuple, out.collect())) == [("a", "@/ui", "file", "1"), ("a", "@x/ui/deep", "feature", "@x"), ("b", "@/gone", "feature", "@"), ("f", "@/lib", "file", "3")]
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == (0 if most else 3) and "BuildLeft" not in plan and "LeftAnti" not in plan

@@ -10,6 +10,7 @@ from graphloom.operators import evaluate, evolve, link, profile, rank, traverse
 from graphloom.operators.fuse import promotion_path
 from graphloom.operators.graph import PropertyGraph, union_all
 from graphloom.plans.linking import _PAGES, _pages
+from graphloom.plans.scratch import cut, spread
 from graphloom.plans.tables import GRAPH_SQL, TOKENS_SQL, read, trade_graph
 from graphloom.sources.extract import extract
 from graphloom.sources.files import pick_routing_tables
@@ -337,11 +338,12 @@ def extract_config(spark: SparkSession, d: str) -> DataFrame:
 def extract_gateway(spark: SparkSession, d: str) -> DataFrame:
     """Two routing tables a repository, of which the main one counts."""
     text = _made("base_path: /api/", "services:", "  s@:", "    host: http://h@:80", "    modules: [m@, /n@/]")
-    part = read(spark, d, "part")
+    part = spread(read(spark, d, "part"))
     one = part.select(F.concat(F.lit("r"), "p_partkey").alias("repo"), F.lit("gw/services.yml").alias("path"), text.alias("text"))
     two = part.filter("p_partkey % 2 = 0").select(F.concat(F.lit("r"), "p_partkey").alias("repo"), F.lit("gw/deep/services.yml").alias("path"), F.replace(text, F.lit("m"), F.lit("z")).alias("text"))
-    r = pick_routing_tables(extract(one.unionAll(two)))
-    return r.filter("kind = 'gateway_route'").select("id", "service", "host", "prefix")
+    routes = extract(one.unionAll(two)).filter("kind = 'gateway_route'").select("kind", "repo", "path", "id", "service", "host", "prefix")
+    # parsed once: the main tables are told from the same rows
+    return pick_routing_tables(cut(routes, "gateway-routes")).select("id", "service", "host", "prefix")
 
 
 def extract_infra(spark: SparkSession, d: str) -> DataFrame:

@@ -172,3 +172,18 @@ def test_specs_mean_files_before_workspaces(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, out.collect())) == [("a", "@/ui", "file", "1"), ("a", "@x/ui/deep", "feature", "@x"), ("b", "@/gone", "feature", "@"), ("f", "@/lib", "file", "3")]
         plan = out._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("SortMergeJoin") == (0 if most else 3) and "BuildLeft" not in plan and "LeftAnti" not in plan
+
+
+def test_routing_tables_are_parsed_by_the_fast_loader(monkeypatch):
+    """The plain loader takes about a millisecond for a small file; it is for builds without the other."""
+    yaml = pytest.importorskip("yaml")
+    texts = ["base_path: /api/\nservices:\n  s:\n    host: http://h:80\n    modules: [m, /n/, 1, null]\n", "services: [", "a: *b", "services: {s: {host: \x00}}", "- 1", "", "d: 2024-01-01", "a: &x [1]\nb: *x"]
+    seen = [x._yaml(t) for t in texts]
+    assert seen[0]["services"]["s"]["modules"] == ["m", "/n/", 1, None] and seen[1] == seen[2] == seen[4] == seen[5] == {} and seen[7] == {"a": [1], "b": [1]}
+    if yaml.__with_libyaml__:
+        with monkeypatch.context() as m:
+            m.setattr(yaml.SafeLoader, "__init__", lambda *a: pytest.fail("the plain loader"))
+            assert x._yaml(texts[0]) == seen[0]
+    with monkeypatch.context() as m:
+        m.delattr(yaml, "CSafeLoader", raising=False)
+        assert [x._yaml(t) for t in texts] == seen

@@ -109,14 +109,57 @@ class PropertyGraph:
         e = e.join(of.withColumnsRenamed({"id": "dst", "repo": "rb"}), "dst").filter("ra <> rb")
         return e.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
-    def health(self) -> DataFrame:
-        """``(measure, n)``: nodes, edges, dangling edges and orphan nodes."""
-        parts = {"nodes": self.nodes, "edges": self.edges, "dangling": self.dangling(), "orphans": self.orphans()}
-        frames = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("measure"), "n") for k, f in parts.items()]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionAll(f)
-        return out
+    def health(self, repaired: bool = False) -> DataFrame:
+        """``(measure, n)``: nodes, edges, dangling edges and orphan nodes; with ``repaired`` also those of the repaired graph.
+
+        Nodes and ends of edges are counted by id in one shuffle. Its ids that are no nodes tell the dangling edges, and a
+        node is an orphan after the repair if all its ends are ends of dangling edges; none of those is left then. Of the edges
+        only those that may dangle are shuffled.
+        """
+        node, end = (F.lit(1).cast("long"), F.lit(0).cast("long")), (F.lit(0).cast("long"), F.lit(1).cast("long"))
+        of = self.nodes.select("id", node[0].alias("nodes"), node[1].alias("ends")).unionAll(_ends(self.edges).select("id", *end))
+        of = of.groupBy("id").agg(F.sum("nodes").alias("nodes"), F.sum("ends").alias("ends"))
+        # both sums are asked for, and the id depends on one, lest columns be pruned or filters pushed down: the shuffle of ``of`` is used again
+        gone = of.filter("nodes = 0 and ends > 0").select(F.when(F.col("ends") > 0, F.col("id")).alias("id"))
+        lost = _ends(edges_at(self.edges, gone)).groupBy("id").agg(F.count(F.lit(1)).alias("lost"))
+        kept = F.col("ends") - F.coalesce("lost", F.lit(0))
+        total = lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+        half = lambda c: F.call_function("div", total(c), F.lit(2))
+        null = F.col("id").isNull()  # a null id is the end of no edge
+        n = of.join(lost, "id", "full").agg(total("nodes").alias("nodes"), half("ends").alias("edges"), half("lost").alias("dangling"),
+            total("nodes", null | (F.col("ends") == 0)).alias("orphans"), total("nodes", null | (kept == 0)).alias("left"))
+        parts = {"nodes": "nodes", "edges": "edges", "dangling": "dangling", "orphans": "orphans"}
+        if repaired:
+            parts |= {"repaired nodes": "nodes", "repaired edges": "edges - dangling", "repaired dangling": "0L", "repaired orphans": "left"}
+        return n.select(F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.expr(v).alias("n")) for k, v in parts.items()))))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("id"))
+
+
+#: Words of 64 bits in the bitmap of ``edges_at``.
+BITMAP_WORDS = 1 << 20
+
+
+def edges_at(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(src, dst)`` of the edges with an end that is null or among ``ids``, each of which stands there once.
+
+    A bitmap of hashes of the ids, of bounded size at any number of them, is broadcast; edges without an end in it are
+    left out where they are, the others are shuffled and looked up in the ids themselves.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * BITMAP_WORDS))
+    word, place = lambda c: F.shiftright(bit(c), 6), lambda c: (bit(c) % 64).cast("int")
+    bitmap = ids.groupBy(word("id").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place("id"))).alias("bits"))
+    e, null = edges.select("src", "dst"), F.col("src").isNull() | F.col("dst").isNull()
+    for end in ("src", "dst"):
+        m = bitmap.withColumnsRenamed({"word": f"{end}_word", "bits": f"{end}_bits"})
+        e = e.join(F.broadcast(m), word(end) == F.col(f"{end}_word"), "left")
+    marked = [F.coalesce(F.getbit(f"{end}_bits", place(end)) == 1, F.lit(False)) for end in ("src", "dst")]
+    e = e.filter(null | marked[0] | marked[1]).select("src", "dst")
+    for end in ("src", "dst"):
+        e = e.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_in")), end, "left")
+    return e.filter(null | F.col("src_in") | F.col("dst_in")).select("src", "dst")
 
 
 def kind_priority(priority: dict[str, int], kind: str = "kind") -> Column:

@@ -75,10 +75,9 @@ def chain_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dangling_orphans(spark: SparkSession, d: str) -> DataFrame:
-    g = trade_graph(spark, d)
+    g = trade_graph(spark, d, by_order=True)
     broken = PropertyGraph(g.nodes.filter("not (kind = 'part' and ord % 10 = 0)"), g.edges)
-    fixed = broken.repaired()
-    return broken.health().unionAll(fixed.health().select(F.concat(F.lit("repaired "), "measure"), "n"))
+    return broken.health(repaired=True)
 
 
 def _ranked_graph(spark: SparkSession, d: str) -> PropertyGraph:

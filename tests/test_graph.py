@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import evolve, link, traverse
+from graphloom.operators import graph as graphs
 from graphloom.operators.graph import PropertyGraph, dedup_nodes
 from graphloom.sources import extract as x
 
@@ -187,3 +188,48 @@ def test_routing_tables_are_parsed_by_the_fast_loader(monkeypatch):
     with monkeypatch.context() as m:
         m.delattr(yaml, "CSafeLoader", raising=False)
         assert [x._yaml(t) for t in texts] == seen
+
+
+def odd_graph(spark, tmp_path):
+    """Repeated and null ids, repeated edges, null ends, loops, nodes that only dangling edges touch."""
+    nodes = [(i, "file", i, "r", i, 0, None, o) for o, i in enumerate(["a", "b", "b", "c", "d", "d", "e", None, *(f"n{k}" for k in range(200))])]
+    pairs = [("a", "b"), ("a", "b"), ("b", "b"), ("c", "z"), ("z", "c"), ("z", "z"), ("d", None), (None, "d"), (None, None), ("y", "b"), (None, "z")]
+    pairs += [(f"n{k}", f"n{k + 1}" if k % 3 else f"x{k}") for k in range(150)]
+    spark.createDataFrame(nodes, NODE).write.parquet(str(tmp_path / "n"))
+    spark.createDataFrame([(*p, "calls", o) for o, p in enumerate(pairs)], EDGE).write.parquet(str(tmp_path / "e"))
+    return PropertyGraph(spark.read.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "e")))
+
+
+def test_health_before_and_after_the_repair(spark, tmp_path, monkeypatch):
+    """As counted on the frames themselves, whether the bitmap tells most ids apart or none."""
+    g = odd_graph(spark, tmp_path)
+    count = lambda h: {"nodes": h.nodes.count(), "edges": h.edges.count(), "dangling": h.dangling().count(), "orphans": h.orphans().count()}
+    before, after = count(g), count(g.repaired())
+    assert before["dangling"] > after["dangling"] == 0 and after["orphans"] > before["orphans"] > 1
+    for words in (graphs.BITMAP_WORDS, 1):
+        monkeypatch.setattr(graphs, "BITMAP_WORDS", words)
+        assert {r.measure: r.n for r in g.health(repaired=True).collect()} == before | {f"repaired {k}": v for k, v in after.items()}
+        assert {r.measure: r.n for r in g.health().collect()} == before
+        e = graphs.edges_at(g.edges, spark.createDataFrame([("a",), ("x3",), ("n7",), ("gone",)], "id string"))
+        found = sorted((r.src or "", r.dst or "") for r in e.collect())
+        assert found == sorted([("", ""), ("", "d"), ("", "z"), ("d", ""), ("a", "b"), ("a", "b"), ("n3", "x3"), ("n7", "n8")])
+    empty = PropertyGraph(g.nodes.limit(0), g.edges.limit(0))
+    assert [(r.measure, r.n) for r in empty.health().collect()] == [("nodes", 0), ("edges", 0), ("dangling", 0), ("orphans", 0)]
+
+
+def test_health_shuffles_each_table_once(spark, tmp_path):
+    """Every shuffle stays on disk until the query ends: edges without duplicates are made once, and ends are shuffled as counts."""
+    g = odd_graph(spark, tmp_path)
+    trade = PropertyGraph(g.nodes, g.edges.select("src", "dst").distinct())
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = trade.health(repaired=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    own = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert sum("(src#" in x and ", dst#" in x for x in own) == 1
+    assert len(own) <= 8, plan
